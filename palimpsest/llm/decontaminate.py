@@ -204,3 +204,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
     return r.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+
+
+#: Rows of words and of windows, joined by the window's first word and verified as whole lists.
+SQL = r"""
+with lower as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+d as (select doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from lower),
+b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null),
+win as (select distinct item_id, w[i:i + 12] g from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) i from b where len(w) > 0)),
+heads as (select distinct g[1] head, len(g) n from win),
+pos as (select doc_id, i, n, w[i:i + n - 1] g from (select doc_id, w, unnest(range(1, len(w) + 1)) i from d) p join heads on head = w[i] where i + n - 1 <= len(w)),
+hit as (select doc_id, i, len(pos.g) n, item_id from pos join win on win.g = pos.g),
+cover as (select doc_id, count(distinct j) n_hit from (select doc_id, unnest(range(i, i + n)) j from hit) group by doc_id),
+items as (select doc_id, count(distinct item_id) n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) ids from hit group by doc_id)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(ids, '')) items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join cover using (doc_id) left join items using (doc_id)
+"""
