@@ -19,8 +19,8 @@ BUCKETS, GRAMS, MOST_LABELLED = 4096, (3, 4), 5000
 #: (verdict, host and path)
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 _BLOCKED = ["spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track", "online-casino", "pills-shop", "bets-win", "xxx-adult", "spam-links", "track-ads", "cheap-meds", "win-casino"]
-_ALLOWED = ["library", "museum", "thering", "tionble", "university", "weather", "ththre", "cooking", "gardening", "daily-news", "thther", "open-maps", "ththan", "history"]
-_PLACES = [("", "example.org", "/en/12"), ("www.", "example.net", "/de/7.html"), ("blog.", "example.com", "/fr/455/"), ("m.", "example.org", "/es/830")]
+_ALLOWED = ["library", "museum", "thering", "tionble", "university", "weather", "ththre", "cooking", "gardening", "daily-news", "thther", "open-maps", "ththan", "history", "tionsh", "tiontion", "ththth", "ththon", "ththed", "ththst", "thand", "station", "another", "nation", "oranges", "teaching", "stories", "research", "travel", "ertion"]
+_PLACES = [("", "example.org", "/en/12"), ("www.", "example.net", "/de/7.html"), ("blog.", "example.com", "/fr/455/"), ("m.", "example.org", "/es/830"), ("", "example.net", "/en/671?utm_source=feed"), ("www.", "example.org", "/fr/9#top")]
 #: The small labelled table: 1 is to be blocked.
 LABELLED = [(f"https://{www}{name}.{host}{path}", label) for names, label in ((_BLOCKED, 1), (_ALLOWED, 0)) for name in names for www, host, path in _PLACES]
 
