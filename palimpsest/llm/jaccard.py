@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import BLANKS, Stored, components, lists, signed, small, stored, texts, whole
+from ._shared import _GOLD, BLANKS, Stored, components, lists, mix, signed, small, stored, texts, whole
 
 N, PERCENT = 4, 85
 #: Counters of the sketch: 4 MB whatever the input; each of its CHUNKS rows goes through the shuffle alone.
@@ -96,15 +96,22 @@ def keyed(docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
 
 def _hash(s: np.ndarray) -> int:
     """Of a set in its order."""
-    from ._shared import _GOLD, mix
-
     x = mix(s + np.arange(1, len(s) + 1, dtype=np.uint64) * _GOLD)
     return int(mix(np.array([x.sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0].view(np.int64))
 
 
-def verify(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets link. found: (node, s), the sets as bytes."""
-    both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("t")), "b").select("a", "b", "s", "t")
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets link. The sets are made anew from the texts of the nodes' first documents."""
+    pairs = stored(pairs, "pairs")
+
+    def found(side: str) -> DataFrame:
+        ids = stored(nodes.select("doc_id", "node").join(small(stored(pairs.select(F.col(side).alias("node")).distinct(), "asked")), "node"), "ids")
+        texts_ = docs.select(F.col("doc_id").cast("long"), "text").join(small(ids), "doc_id").select("node", "text")
+        # another row with that id, but another text, is another node
+        return texts_.mapInArrow(_hashed(n), "node long, s binary")
+
+    right = found("b").select(F.col("node").alias("b"), F.col("s").alias("t")).join(small(pairs), "b")
+    both = right.join(found("a").select(F.col("node").alias("a"), "s"), "a").select("a", "b", "s", "t")
 
     def part(batches):
         for b in batches:
@@ -115,7 +122,7 @@ def verify(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(part, "a long, b long")
+    return both.mapInArrow(part, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -124,25 +131,16 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     nodes = keys.read().where("node is not null").groupBy("node").agg(F.first("grp").alias("grp"), F.first("size").alias("size"), F.min("doc_id").alias("doc_id"))
     nodes = stored(nodes, "nodes")
     members = nodes.select("node", "grp")
-    # postings: one for each group and shingle of its prefix; a row of the group's documents is as good as any other
-    heads = keys.read().where("node is not null").select("grp", "node", "size", "prefix").join(nodes.groupBy("grp").agg(F.min("node").alias("node")), ["grp", "node"], "left_semi").dropDuplicates(["grp"])
-    heads = stored(heads.select("grp", "size", "prefix"), "heads")
-    posted = heads.select("grp", "size", F.posexplode("prefix").alias("pos", "token"))
-    busy = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    # postings: one for each group and shingle of its prefix, from the first document of the group's least node
+    heads = small(stored(nodes.join(nodes.groupBy("grp").agg(F.min("node").alias("node")), ["grp", "node"]).select("node", "doc_id"), "heads"))
+    posted = keys.read().join(heads, ["node", "doc_id"]).select("grp", "size", F.posexplode("prefix").alias("pos", "token"))
+    busy = small(stored(posted.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token"), "busy"))
     lists_ = Stored(posted.join(busy, "token").select("token", "grp", F.col("size").cast("int").alias("size"), "pos"), "lists")
-    # sets of the nodes in question, from the whole texts
-    at = lists_.read().select("grp").distinct()
     crowded = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-    asked = stored(members.join(at.unionByName(crowded).distinct(), "grp", "left_semi").select("node"), "asked")
-    ids = stored(nodes.join(asked, "node", "left_semi").select("doc_id", "node"), "ids")
-
-    # rows are found by the node's first document; another row with that id is dropped again by its node
-    texts_ = docs.select(F.col("doc_id").cast("long"), "text").join(small(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = stored(texts_.mapInArrow(_hashed(n), "node long, s binary").join(ids.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     # within groups of several nodes, and then among groups
     star = members.join(crowded, "grp", "left_semi")
-    links = Stored(_within(star, found, percent), "found")
+    links = Stored(_within(star, docs, nodes, n, percent), "found")
     tried = []
     comp = None
     for r in range(STARS + 1):
@@ -169,7 +167,7 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
             pairs = pairs.unionByName(split)
         m1, m2 = of.select(F.col("grp").alias("g1"), F.col("node").alias("a"), F.col("c").alias("ca")), of.select(F.col("grp").alias("g2"), F.col("node").alias("b"), F.col("c").alias("cb"))
         todo = pairs.join(m1, "g1").join(m2, "g2").where("ca <> cb and (g1 <> g2 or a < b)").select("a", "b")
-        new = Stored(verify(todo, found, percent), "found")
+        new = Stored(verify(todo, docs, nodes, n, percent), "found")
         tried.append(new)
         comp = labels
     every = stored(_all(tried, links), "found")
@@ -190,19 +188,22 @@ def _all(tried: list[Stored], links: Stored) -> DataFrame:
 
 
 def _hashed(n: int):
+    """The sets of texts as bytes, where they are those of the node that was asked for."""
+
     def part(batches):
         for b in batches:
             for lo, hi, each in sets(b.column(1), n):
-                node = [_hash(s) if len(s) else None for s in each]
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array([s.tobytes() for s in each], pa.binary())], ["node", "s"])
+                node = b.column(0)[lo:hi]
+                mine = pa.array([k == _hash(s) for k, s in zip(node.to_pylist(), each, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([node, pa.array([s.tobytes() for s in each], pa.binary())], ["node", "s"]).filter(mine)
 
     return part
 
 
-def _within(star: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _within(star: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """Links among the nodes of one group: of each with the least. Their prefixes are equal, so most pairs link; what doesn't is tried again among lists."""
     lead = star.groupBy("grp").agg(F.min("node").alias("a"))
-    return verify(star.join(lead, "grp").where("node <> a").select("a", F.col("node").alias("b")), found, percent)
+    return verify(star.join(lead, "grp").where("node <> a").select("a", F.col("node").alias("b")), docs, nodes, n, percent)
 
 
 def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
