@@ -14,8 +14,14 @@ from pyspark.sql import SparkSession
 _sent: set[str] = set()
 
 
+#: Rows in a batch for Python workers where the session has Spark's default: rows here are whole texts.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Does nothing if the workers find the package on PYTHONPATH; else adds it as a zip, once for each application."""
+    """Does nothing if the workers find the package on PYTHONPATH; else adds it as a zip, once for each application. Sees that batches for workers stay small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     here = Path(__file__).resolve().parent
     at = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     app = spark.sparkContext.applicationId
