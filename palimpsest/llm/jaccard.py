@@ -9,6 +9,7 @@ whole sequence as one. Two documents link when 100 * |x & y| >= percent * |x | y
    prefix's shingles. A shingle under which one group alone is posted is dropped.
 3. Rounds of stars: in every list the group with the least hash (another hash each round) is compared with the rest, within the bounds
    of size and position. What is verified on whole sets is linked, and pairs of one component need no comparison any more.
+   Pairs whose parity bits differ in more places than linked sets can are dropped before any set is moved.
 4. What is left, pairs of one list in different components, is expanded to the groups' members and verified pair by pair. So
    no two linked sets end in different components, and no group is expanded into all its pairs.
 
@@ -82,16 +83,44 @@ def keyed(docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
     def part(batches):
         for b in batches:
             for lo, hi, each in sets(b.column(1), n):
-                node, grp, head = [], [], []
+                node, grp, head, bits = [], [], [], []
                 for s in each:
                     order = s[np.lexsort((s, counts.value[(s >> np.uint64(44)).astype(np.int64)]))][: prefix(len(s), percent)]
                     head.append(signed(order))
+                    bits.append(parity(s))
                     node.append(_hash(s) if len(s) else None)
                     grp.append(_hash(np.concatenate([order, [np.uint64(len(s))]])) if len(s) else None)
                 cuts = np.concatenate([[0], np.cumsum([len(x) for x in head])])
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([len(s) for s in each], pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), lists(np.concatenate(head), cuts, pa.int64())], ["doc_id", "size", "node", "grp", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([len(s) for s in each], pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), lists(np.concatenate(head), cuts, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "size", "node", "grp", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "doc_id long, size long, node long, grp long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "doc_id long, size long, node long, grp long, prefix array<long>, bits binary")
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Bits that each element of a set flips one of, about two for an element: two sets' bits differ in at most as many places as the sets."""
+    m = 1 << max(6, (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose parity bits don't rule out that they link; nothing that links is lost."""
+    of = lambda side, z, bits: nodes.select(F.col("node").alias(side), F.col("size").alias(z), F.col("bits").alias(bits))
+    both = pairs.join(of("a", "z", "x"), "a").join(of("b", "w", "y"), "b").select("a", "b", "z", "w", "x", "y")
+
+    def part(batches):
+        for b in batches:
+            keep = []
+            for z, w, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                while len(x) > len(y):
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                least = -(-percent * (z + w) // (100 + percent))
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= z + w - 2 * least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(part, "a long, b long")
 
 
 def _hash(s: np.ndarray) -> int:
@@ -102,7 +131,7 @@ def _hash(s: np.ndarray) -> int:
 
 def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets link. The sets are made anew from the texts of the nodes' first documents."""
-    pairs = stored(pairs, "pairs")
+    pairs = stored(may_link(pairs, nodes, percent), "pairs")
 
     def found(side: str) -> DataFrame:
         ids = stored(nodes.select("doc_id", "node").join(small(stored(pairs.select(F.col(side).alias("node")).distinct(), "asked")), "node"), "ids")
@@ -128,7 +157,7 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent:
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text), and n_links, the links that were verified for its set."""
     keys = Stored(keyed(docs, sketch(docs, n), n, percent), "keys")
-    nodes = keys.read().where("node is not null").groupBy("node").agg(F.first("grp").alias("grp"), F.first("size").alias("size"), F.min("doc_id").alias("doc_id"))
+    nodes = keys.read().where("node is not null").groupBy("node").agg(F.first("grp").alias("grp"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
     nodes = stored(nodes, "nodes")
     members = nodes.select("node", "grp")
     # postings: one for each group and shingle of its prefix, from the first document of the group's least node
