@@ -29,7 +29,7 @@ from ._shared import _GOLD, BLANKS, Stored, components, lists, mix, signed, smal
 N, PERCENT = 4, 85
 #: Counters of the sketch: 4 MB whatever the input; each of its CHUNKS rows goes through the shuffle alone.
 BUCKETS, CHUNKS = 1 << 20, 64
-STARS = 2
+STARS = 4
 
 
 
@@ -176,23 +176,23 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         known = links.read() if comp is None else stored(_all(tried, links), "found")
         labels = stored(components(known), "labels")
         of = members.join(labels.withColumnRenamed("component", "c"), members["node"] == labels["node"], "left").select(members["node"], "grp", F.coalesce("c", members["node"]).alias("c"))
-        # a group is known by its least component; groups whose members are in several are expanded below
-        group = of.groupBy("grp").agg(F.min("c").alias("c"), (F.min("c") == F.max("c")).alias("one"))
+        # a group whose members are in several components stands in its lists once for each
+        group = of.select("grp", "c").distinct()
         rows = lists_.read().join(group, "grp")
-        open_ = rows.groupBy("token").agg((F.min("c") < F.max("c")).alias("open"), (~F.min("one")).alias("mixed"), F.min(F.xxhash64("grp", F.lit(r))).alias("lead")).where("open or mixed")
+        open_ = rows.groupBy("token").agg((F.min("c") < F.max("c")).alias("open"), F.min(F.xxhash64("grp", F.lit(r))).alias("lead")).where("open")
         open_rows = rows.join(open_, "token").withColumn("h", F.xxhash64("grp", F.lit(r)))
         if r < STARS:
             lead = open_rows.where("h = lead").select("token", F.col("grp").alias("g"), F.col("size").alias("z"), F.col("pos").alias("p"), F.col("c").alias("d"))
             pairs = open_rows.join(lead, "token").where("grp <> g and c <> d")
         else:
-            other = open_rows.select("token", F.col("grp").alias("g"), F.col("size").alias("z"), F.col("pos").alias("p"), F.col("c").alias("d"), F.col("one").alias("one2"))
-            pairs = open_rows.join(other, "token").where("grp < g and (c <> d or not one or not one2)")
+            other = open_rows.select("token", F.col("grp").alias("g"), F.col("size").alias("z"), F.col("pos").alias("p"), F.col("c").alias("d"))
+            pairs = open_rows.join(other, "token").where("grp < g and c <> d")
         # of sets that link, the smaller is long enough and what can still follow the shared shingle suffices
         least = F.expr(f"ceil({percent} * (size + z) / {100 + percent}D)")
         pairs = pairs.where((F.least("size", "z") * 100 >= percent * F.greatest("size", "z")) & (F.least(F.col("size") - F.col("pos"), F.col("z") - F.col("p")) + F.least("pos", "p") >= least))
         pairs = pairs.select(F.least("grp", "g").alias("g1"), F.greatest("grp", "g").alias("g2")).distinct()
         if r == STARS:
-            split = group.where("not one").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))
+            split = group.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))
             pairs = pairs.unionByName(split)
         m1, m2 = of.select(F.col("grp").alias("g1"), F.col("node").alias("a"), F.col("c").alias("ca")), of.select(F.col("grp").alias("g2"), F.col("node").alias("b"), F.col("c").alias("cb"))
         todo = pairs.join(m1, "g1").join(m2, "g2").where("ca <> cb and (g1 <> g2 or a < b)").select("a", "b")
