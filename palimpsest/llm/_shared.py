@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,12 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return Stored(df, tag).read()
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows. ``df`` should be a stored table: counting it is then free."""
     return F.broadcast(df) if df.count() <= rows else df

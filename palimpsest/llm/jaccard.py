@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import _GOLD, BLANKS, Stored, components, lists, mix, signed, small, stored, texts, whole
+from ._shared import _GOLD, BLANKS, Stored, components, free, lists, mix, signed, small, stored, texts, whole
 
 N, PERCENT = 4, 85
 #: Counters of the sketch: 4 MB whatever the input; each of its CHUNKS rows goes through the shuffle alone.
@@ -32,7 +32,6 @@ BUCKETS, CHUNKS = 1 << 20, 64
 STARS = 4
 
 
-
 def sets(column: pa.Array, n: int):
     """(from row, to row, [sorted distinct hashes of each text]) of pieces of a column."""
     for lo, hi, w in texts(column, BLANKS):
@@ -170,35 +169,40 @@ def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     # within groups of several nodes, and then among groups
     star = members.join(crowded, "grp", "left_semi")
     links = Stored(_within(star, docs, nodes, n, percent), "found")
-    tried = []
-    comp = None
+    tried, known = [], links.read()
     for r in range(STARS + 1):
-        known = links.read() if comp is None else stored(_all(tried, links), "found")
-        labels = stored(components(known), "labels")
-        of = members.join(labels.withColumnRenamed("component", "c"), members["node"] == labels["node"], "left").select(members["node"], "grp", F.coalesce("c", members["node"]).alias("c"))
+        labels = Stored(components(known), "labels")
+        named = labels.read().withColumnRenamed("component", "c")
+        of = Stored(members.join(named, "node", "left").select("node", "grp", F.coalesce("c", "node").alias("c")), "of")
         # a group whose members are in several components stands in its lists once for each
-        group = of.select("grp", "c").distinct()
-        rows = lists_.read().join(group, "grp")
-        open_ = rows.groupBy("token").agg((F.min("c") < F.max("c")).alias("open"), F.min(F.xxhash64("grp", F.lit(r))).alias("lead")).where("open")
-        open_rows = rows.join(open_, "token").withColumn("h", F.xxhash64("grp", F.lit(r)))
-        if r < STARS:
-            lead = open_rows.where("h = lead").select("token", F.col("grp").alias("g"), F.col("size").alias("z"), F.col("pos").alias("p"), F.col("c").alias("d"))
-            pairs = open_rows.join(lead, "token").where("grp <> g and c <> d")
-        else:
-            other = open_rows.select("token", F.col("grp").alias("g"), F.col("size").alias("z"), F.col("pos").alias("p"), F.col("c").alias("d"))
-            pairs = open_rows.join(other, "token").where("grp < g and c <> d")
+        group = of.read().select("grp", "c").distinct()
+        rows = Stored(lists_.read().join(group, "grp").withColumn("h", F.xxhash64("grp", F.lit(r))), "rows")
+        open_ = stored(rows.read().groupBy("token").agg((F.min("c") < F.max("c")).alias("open"), F.min("h").alias("lead")).where("open"), "open")
+        last = r == STARS or open_.isEmpty()
+        open_rows = rows.read().join(small(open_), "token")
+        other = open_rows if last else open_rows.where("h = lead")
+        other = other.select("token", F.col("grp").alias("g"), F.col("size").alias("z"), F.col("pos").alias("p"), F.col("c").alias("d"))
+        pairs = open_rows.join(other, "token").where(f"grp {'<' if last else '<>'} g and c <> d")
         # of sets that link, the smaller is long enough and what can still follow the shared shingle suffices
         least = F.expr(f"ceil({percent} * (size + z) / {100 + percent}D)")
         pairs = pairs.where((F.least("size", "z") * 100 >= percent * F.greatest("size", "z")) & (F.least(F.col("size") - F.col("pos"), F.col("z") - F.col("p")) + F.least("pos", "p") >= least))
         pairs = pairs.select(F.least("grp", "g").alias("g1"), F.greatest("grp", "g").alias("g2")).distinct()
-        if r == STARS:
+        if last:
             split = group.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))
             pairs = pairs.unionByName(split)
-        m1, m2 = of.select(F.col("grp").alias("g1"), F.col("node").alias("a"), F.col("c").alias("ca")), of.select(F.col("grp").alias("g2"), F.col("node").alias("b"), F.col("c").alias("cb"))
-        todo = pairs.join(m1, "g1").join(m2, "g2").where("ca <> cb and (g1 <> g2 or a < b)").select("a", "b")
-        new = Stored(verify(todo, docs, nodes, n, percent), "found")
-        tried.append(new)
-        comp = labels
+        side = lambda g, node, c: of.read().select(F.col("grp").alias(g), F.col("node").alias(node), F.col("c").alias(c))
+        todo = pairs.join(side("g1", "a", "ca"), "g1").join(side("g2", "b", "cb"), "g2").where("ca <> cb and (g1 <> g2 or a < b)").select("a", "b")
+        tried.append(Stored(verify(todo, docs, nodes, n, percent), "found"))
+        if not last:  # lists of one component stay so and are left out from now on
+            shorter = Stored(lists_.read().join(small(open_.select("token")), "token", "left_semi"), "lists")
+            known = stored(labels.read().select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tried[-1].read()), "known")
+            for done in (lists_, labels, of, rows):
+                done.drop()
+            lists_ = shorter
+            named = group = open_ = open_rows = other = pairs = todo = None
+            free(docs.sparkSession)
+        else:
+            break
     every = stored(_all(tried, links), "found")
     labels = stored(components(every), "labels")
     sides = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
