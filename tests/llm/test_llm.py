@@ -84,6 +84,16 @@ def test_passages(spark, docs, rows):
     assert out[6] == prose(100, 4) and out[5].endswith(prose(70, 2)) and out[7] is None and out[8] == ""
 
 
+def test_passages_behind_another_first_holder(spark):
+    p = prose(60, 11)
+    # every shingle's first holder holds 24 words of the passage only
+    pieces_ = [" ".join(p.split()[i : i + 24]) for i in range(0, 40, 12)]
+    first = [(i, " ".join(f"{prose(60, 50 + 9 * i + k)} {x}" for k, x in enumerate(pieces_))) for i in (1, 2)]
+    d = spark.createDataFrame([*first, (5, prose(30, 12) + " " + p), (6, p + " " + prose(40, 13))], "doc_id long, text string")
+    r = {x["doc_id"]: x for x in passages.report(d).collect()}
+    assert r[6]["class_id"] == 5 and [(s["word"], s["n_words"], s["other"]) for s in r[6]["spans"]] == [(0, 60, 5)]
+
+
 def test_compact_windows_cover_every_run():
     h = np.random.default_rng(3).integers(0, 50, 200).astype(np.uint64)
     at = passages.least(h, 7)
