@@ -94,6 +94,15 @@ def test_passages_behind_another_first_holder(spark):
     assert r[6]["class_id"] == 5 and [(s["word"], s["n_words"], s["other"]) for s in r[6]["spans"]] == [(0, 60, 5)]
 
 
+def test_passages_equal_behind_a_near_copy(spark):
+    a = prose(400, 31).split()
+    d = [*a[:198], "x1", "x2", "x3", "x4", *a[202:]]
+    quote = d[172:227]
+    rows = [(1, " ".join(a)), (2, " ".join(d)), (3, " ".join([*prose(80, 32).split(), *quote, *prose(90, 33).split()]))]
+    r = {x["doc_id"]: x for x in passages.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 3 in r and r[3]["class_id"] == 1 and (80, 55, 2) in [(s["word"], s["n_words"], s["other"]) for s in r[3]["spans"]]
+
+
 def test_compact_windows_cover_every_run():
     h = np.random.default_rng(3).integers(0, 50, 200).astype(np.uint64)
     at = passages.least(h, 7)
