@@ -103,6 +103,27 @@ def test_passages_equal_behind_a_near_copy(spark):
     assert 3 in r and r[3]["class_id"] == 1 and (80, 55, 2) in [(s["word"], s["n_words"], s["other"]) for s in r[3]["spans"]]
 
 
+def test_repeats_align_a_phrase_that_stands_earlier_too():
+    def tokens(words):
+        return np.array([hash(tuple(words[i : i + 5])) & (2**63 - 1) for i in range(len(words) - 4)], np.uint64)
+
+    for n in (56, 70, 100):
+        p = prose(n, n).split()
+        phrase = p[n // 2 - 4 : n // 2 + 4]
+        near = [*p[:10], "x", *p[11:]]
+        for before, after in (([*phrase, *prose(40, 2).split()], []), ([], [*prose(40, 3).split(), *phrase]), ([*phrase, *prose(30, 4).split()] * 3, phrase)):
+            held = [*prose(20, 5).split(), *before, *p, *after, *prose(20, 6).split()]
+            mine = [*prose(15, 7).split(), *near, *prose(15, 8).split()]
+            got = passages.repeats(tokens(mine), tokens(held), 46, 0.8)
+            assert [(lo, hi) for lo, hi, _ in got] == [(15, 15 + n - 5)], (n, got)
+    # two places hold a passage each, and one line over and over costs no more than it must
+    p, q = prose(60, 11).split(), prose(60, 12).split()
+    got = passages.repeats(tokens([*p, *prose(30, 13).split(), *q]), tokens([*q, *prose(90, 14).split(), *p]), 46, 0.8)
+    assert sorted((lo, hi) for lo, hi, _ in got) == [(0, 55), (90, 145)]
+    line = prose(9, 15).split() * 400
+    assert [(lo, hi) for lo, hi, _ in passages.repeats(tokens(line), tokens(line), 46, 0.8)] == [(0, len(line) - 5)]
+
+
 def test_compact_windows_cover_every_run():
     h = np.random.default_rng(3).integers(0, 50, 200).astype(np.uint64)
     at = passages.least(h, 7)
