@@ -41,24 +41,44 @@ RULES = [
     ("GPL-2.0-or-later", ["gpl-free", "gpl2-terms"]), ("GPL-3.0", ["gpl3-line"]), ("GPL-3.0-or-later", ["gpl-free", "gpl3-terms"]),
     ("MIT", ["mit-grant", "mit-notice"]), ("MIT", ["mit-line"]), ("MIT", ["mit-line2"]), ("MPL-2.0", ["mpl-line"]),
 ]
+#: Known sentences that the cut itself divides ("v. 2.0", "Foundation; either"): the parts that must follow each other; they count as one.
+PARTED = {
+    "mpl-header": ["this source code form is subject to the terms of the mozilla public license v", "2 0"],
+    "gpl2-header": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "either version 2 of the license or at your option any later version"],
+    "gpl3-header": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "either version 3 of the license or at your option any later version"],
+}
+PARTED_RULES = [("GPL-2.0-or-later", ["gpl-free", "gpl2-header"]), ("GPL-3.0-or-later", ["gpl-free", "gpl3-header"]), ("MPL-2.0", ["mpl-header"])]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def identifiers(text: Column, sentences: dict[str, str]) -> Column:
-    """The known sentences of a text, in order."""
-    longest = 3 * max(map(len, sentences.values()), default=0)
+def identifiers(text: Column, sentences: dict[str, str], parted: dict[str, list[str]]) -> Column:
+    """The known sentences of a text, in order. Parts of a divided sentence count only where they follow each other."""
+    part = {p: f"/{i}" for i, p in enumerate(sorted({p for parts in parted.values() for p in parts} - set(sentences.values())))}
+    ids = {v: k for k, v in sorted(sentences.items())} | part
+    found = _looked_up(text, ids)
+    if not parted:
+        return found
+    joined = F.concat(F.lit(","), F.array_join(found, ",,"), F.lit(","))  # two commas, so that neighbours don't share one
+    for k, parts in sorted(parted.items()):
+        joined = F.replace(joined, F.lit("".join(f",{ids[p]}," for p in parts)), F.lit(f",{k},"))
+    return F.filter(F.split(joined, ","), lambda s: (s != "") & ~s.startswith("/"))
+
+
+def _looked_up(text: Column, ids: dict[str, str]) -> Column:
+    longest = 3 * max(map(len, ids), default=0)
     cut = F.split(F.regexp_replace(text, r"([.;:!?])[ \t\r]+", "$1\n"), "\n")
     fit = F.filter(cut, lambda s: (F.length(s) <= longest) & (F.length(s) > 0))
     plain = F.transform(fit, lambda s: F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " ")))
-    table = F.create_map(*[F.lit(x) for k, v in sorted(sentences.items()) for x in (v, k)])
-    return F.filter(F.transform(F.filter(plain, lambda s: s.isin(sorted(sentences.values()))), lambda s: table[s]), lambda s: s.isNotNull())
+    table = F.create_map(*[F.lit(x) for v, k in ids.items() for x in (v, k)])
+    return F.filter(F.transform(F.filter(plain, lambda s: s.isin(sorted(ids))), lambda s: table[s]), lambda s: s.isNotNull())
 
 
 def scanned(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """``docs`` with sentence_ids (line by line, then those that only wrapped lines give) and licences, both arrays."""
-    sentences, rules = sentences or SENTENCES, rules or RULES
+    parted = {} if sentences else PARTED
+    sentences, rules = sentences or SENTENCES, rules or (RULES if sentences else RULES + PARTED_RULES)
     text = F.coalesce("text", F.lit(""))
-    out = docs.drop("sentence_ids", "licences").withColumn("_lines", identifiers(text, sentences)).withColumn("_joined", identifiers(F.regexp_replace(text, r"\s*\n\s*", " "), sentences))
+    out = docs.drop("sentence_ids", "licences").withColumn("_lines", identifiers(text, sentences, parted)).withColumn("_joined", identifiers(F.regexp_replace(text, r"\s*\n\s*", " "), sentences, parted))
     out = out.withColumn("sentence_ids", F.concat("_lines", F.array_except("_joined", "_lines")))
     lines, joined = (F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")) for c in ("_lines", "_joined"))
     found = F.array(*[F.when(lines.contains("," + ",".join(ids) + ",") | joined.contains("," + ",".join(ids) + ","), F.lit(name)) for name, ids in rules])
