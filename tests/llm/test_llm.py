@@ -103,6 +103,30 @@ def test_passages_equal_behind_a_near_copy(spark):
     assert 3 in r and r[3]["class_id"] == 1 and (80, 55, 2) in [(s["word"], s["n_words"], s["other"]) for s in r[3]["spans"]]
 
 
+def test_passages_chains_of_near_passages(spark, monkeypatch):
+    def shingles(words):
+        return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+
+    rows, chains = [], 20
+    for k in range(chains):  # b differs from a and from c by one word, the way a and c differ by two
+        p = prose(60, 1000 + k).split()
+        a, c = [*p], [*p]
+        a[18], c[41] = "x", "y"
+        rows += [(10 * k + i, " ".join([*prose(40, 5000 + 10 * k + i).split(), *w, *prose(40, 7000 + 10 * k + i).split()])) for i, w in ((1, a), (2, p), (3, c))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    number = {w: i for i, w in enumerate({s for _, t in rows for s in shingles(t.split())})}
+    held = {i: np.array([number[s] for s in shingles(t.split())], np.uint64) for i, t in rows}
+    # brute force: each two documents of a chain; the key's chance stays, 1 - (1 - s)**functions: twelve functions leave next to none
+    want = {(x, y) for k in range(chains) for x in (10 * k + 2, 10 * k + 3) for y in range(10 * k + 1, x) if passages.repeats(held[x], held[y], 46, 0.8)}
+    assert len(want) == 2 * chains and all(x - y == 1 for x, y in want)
+    for stars in (passages.STARS, 0):
+        monkeypatch.setattr(passages, "STARS", stars)
+        monkeypatch.setattr(passages, "BLOCK", 2)
+        r = passages.report(d, functions=12).collect()
+        assert {(x["doc_id"], s["other"]) for x in r for s in x["spans"]} == want
+        assert all(x["class_id"] == x["doc_id"] // 10 * 10 + 1 for x in r) and len(r) == 3 * chains
+
+
 def test_repeats_align_a_phrase_that_stands_earlier_too():
     def tokens(words):
         return np.array([hash(tuple(words[i : i + 5])) & (2**63 - 1) for i in range(len(words) - 4)], np.uint64)
