@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -85,6 +86,8 @@ def _letters() -> np.ndarray:
 
 
 _LETTER = _letters()
+#: Bytes beyond which a word is hashed by BLAKE2 (bytes.lower() changes A-Z alone).
+LONG = 64
 #: Bytes that are no part of a word: the six blanks of ASCII, or all of ASCII but letters and digits.
 BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -126,6 +129,8 @@ class Words:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_LETTER[data] * up[:n], out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64) * _GOLD)
+        for k in np.flatnonzero(self.end - self.start > LONG):  # a polynomial modulo 2**64 has known collisions between long words
+            self.hash[k] = np.frombuffer(hashlib.blake2b(data[self.start[k] : self.end[k]].tobytes().lower(), digest_size=8).digest(), np.uint64)[0]
         self._sums, self._down = sums, down
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
