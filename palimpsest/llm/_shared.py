@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of ids and a few numbers may be broadcast (about 16 MB); beyond it the join is shuffled.
-BROADCAST_ROWS = 400_000
+#: Rows up to which a table of ids and a few numbers may be broadcast (about 4 MB); beyond it the join is shuffled.
+BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -196,6 +196,41 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Binary values of one length as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint64)
+
+
+def segments(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, cuts) of rows that come sorted by their first ``keys`` columns (numbers): cuts[i]:cuts[i + 1] are all the rows of one key."""
+    rest = None
+    for b in batches:
+        if not len(b):
+            continue
+        b = b if rest is None else pa.concat_batches([rest, b])
+        ids = [b.column(k).to_numpy() for k in range(keys)]
+        new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in ids])) + 1
+        if len(new):
+            yield b.slice(0, int(new[-1])), np.concatenate([[0], new])
+            b = b.slice(int(new[-1]))
+        rest = b
+    if rest is not None:
+        yield rest, np.array([0, len(rest)])
+
+
+def pairs_within(cuts: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j, of all pairs of rows of one segment, about ``most`` at a time."""
+    end = np.repeat(cuts[1:], np.diff(cuts))
+    n = end - np.arange(len(end)) - 1
+    total = np.concatenate([[0], np.cumsum(n)])
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, side="right")) - 1)
+        i = np.repeat(np.arange(lo, hi), n[lo:hi])
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(total[lo:hi] - total[lo], n[lo:hi])
+        lo = hi
+
+
 # --- connected components -----------------------------------------------------------------------------------------
 
 

@@ -7,13 +7,15 @@ whole sequence as one. Two documents link when 100 * |x & y| >= percent * |x | y
    first, then by hash. Any order that is the same for all documents gives right results, so shared buckets cost only time.
 2. Documents with equal sets are one node. Nodes of equal size and prefix are one group; only groups are posted under the
    prefix's shingles. A shingle under which one group alone is posted is dropped.
-3. Rounds of stars: in every list the group with the least hash (another hash each round) is compared with the rest, within the bounds
-   of size and position. What is verified on whole sets is linked, and pairs of one component need no comparison any more.
-   Pairs whose parity bits differ in more places than linked sets can are dropped before any set is moved.
-4. What is left, pairs of one list in different components, is expanded to the groups' members and verified pair by pair. So
-   no two linked sets end in different components, and no group is expanded into all its pairs.
-
-Empty texts, texts without words and nulls have empty sets and link with nothing; a null doc_id is returned with a null component.
+3. A round of stars: in every list the group with the least hash is compared with the rest, within the bounds of size and position, and in every
+   group the least node with the rest. What is verified on whole sets is linked, and pairs of one component need no comparison any more.
+4. Lists that still hold several components are expanded to the groups' members and dealt over blocks; each two blocks are one piece of work, in which
+   pairs are held against the bounds and against parity bits, and only those that pass come out of it: first the closest pair of each two components,
+   then, when those have been verified and the components joined, every pair that is left. So no two linked sets end in different
+   components, and no pair is emitted that the bits rule out. A pair of bits differs in at most as many places as the two sets.
+
+Comparisons in step 4 are quadratic in the members of a list that stays open (a large family of copies just below the threshold); an exact answer
+needs them. Shingles are 64-bit hashes. Empty texts, texts without words and nulls have empty sets and link with nothing; a null doc_id is returned with a null component.
 Repeated rows and ties share a node. Columns of the same names in ``docs`` are replaced. Empty tables give no rows.
 """
 
@@ -24,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import _GOLD, BLANKS, Stored, components, free, lists, mix, signed, small, stored, texts, whole
+from ._shared import _GOLD, BLANKS, Stored, components, free, lists, matrix, mix, pairs_within, segments, signed, small, texts, whole
 
 N, PERCENT = 4, 85
 #: Counters of the sketch: 4 MB whatever the input; each of its CHUNKS rows goes through the shuffle alone.
 BUCKETS, CHUNKS = 1 << 20, 64
-STARS = 4
+#: Bits of the signature that goes along with postings; rows of a list that meet at once; passes that compare the closest pairs of components only.
+BITS, BLOCK, CLOSEST = 1024, 1000, 1
 
 
 def sets(column: pa.Array, n: int):
@@ -76,35 +79,40 @@ def prefix(size: int, percent: int) -> int:
 
 
 def keyed(docs: DataFrame, counts, n: int, percent: int) -> DataFrame:
-    """(doc_id, size, node, grp, prefix): node stands for the whole set, grp for its size and prefix."""
+    """(doc_id, size, node, grp, prefix, sig, bits): node stands for the whole set, grp for its size and prefix; bits only where they are longer than sig."""
     counts = docs.sparkSession.sparkContext.broadcast(counts)
 
     def part(batches):
         for b in batches:
             for lo, hi, each in sets(b.column(1), n):
-                node, grp, head, bits = [], [], [], []
+                node, grp, head, sig, bits = [], [], [], [], []
                 for s in each:
                     order = s[np.lexsort((s, counts.value[(s >> np.uint64(44)).astype(np.int64)]))][: prefix(len(s), percent)]
                     head.append(signed(order))
-                    bits.append(parity(s))
+                    sig.append(parity(s, BITS))
+                    bits.append(parity(s, m) if (m := 1 << (2 * len(s) - 1).bit_length()) > BITS and len(s) else None)
                     node.append(_hash(s) if len(s) else None)
                     grp.append(_hash(np.concatenate([order, [np.uint64(len(s))]])) if len(s) else None)
                 cuts = np.concatenate([[0], np.cumsum([len(x) for x in head])])
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([len(s) for s in each], pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), lists(np.concatenate(head), cuts, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "size", "node", "grp", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([len(s) for s in each], pa.int64()), pa.array(node, pa.int64()), pa.array(grp, pa.int64()), lists(np.concatenate(head), cuts, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "size", "node", "grp", "prefix", "sig", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "doc_id long, size long, node long, grp long, prefix array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, "doc_id long, size long, node long, grp long, prefix array<long>, sig binary, bits binary")
 
 
-def parity(s: np.ndarray) -> bytes:
-    """Bits that each element of a set flips one of, about two for an element: two sets' bits differ in at most as many places as the sets."""
-    m = 1 << max(6, (2 * len(s) - 1).bit_length())
+def parity(s: np.ndarray, m: int) -> bytes:
+    """m bits, of which each element of a set flips one: two sets' bits differ in at most as many places as the sets."""
     return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def allowed(z, w, percent: int):
+    """In how many elements two sets of sizes z and w that link may differ."""
+    return z + w + 2 * (-percent * (z + w) // (100 + percent))
+
+
 def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose parity bits don't rule out that they link; nothing that links is lost."""
-    of = lambda side, z, bits: nodes.select(F.col("node").alias(side), F.col("size").alias(z), F.col("bits").alias(bits))
-    both = pairs.join(of("a", "z", "x"), "a").join(of("b", "w", "y"), "b").select("a", "b", "z", "w", "x", "y")
+    of = lambda side, z, bits: nodes.select(F.col("node").alias(side), F.col("size").alias(z), F.coalesce("bits", "sig").alias(bits))
+    both = pairs.select("a", "b").join(of("a", "z", "x"), "a").join(of("b", "w", "y"), "b").select("a", "b", "z", "w", "x", "y")
 
     def part(batches):
         for b in batches:
@@ -115,8 +123,7 @@ def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                     x = x[: len(x) // 2] ^ x[len(x) // 2 :]
                 while len(y) > len(x):
                     y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                least = -(-percent * (z + w) // (100 + percent))
-                keep.append(int(np.bitwise_count(x ^ y).sum()) <= z + w - 2 * least)
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= allowed(z, w, percent))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(part, "a long, b long")
@@ -128,18 +135,16 @@ def _hash(s: np.ndarray) -> int:
     return int(mix(np.array([x.sum(dtype=np.uint64) ^ np.uint64(len(s))]))[0].view(np.int64))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> Stored:
     """The pairs (a, b) of nodes whose whole sets link. The sets are made anew from the texts of the nodes' first documents."""
-    pairs = stored(may_link(pairs, nodes, percent), "pairs")
-
-    def found(side: str) -> DataFrame:
-        ids = stored(nodes.select("doc_id", "node").join(small(stored(pairs.select(F.col(side).alias("node")).distinct(), "asked")), "node"), "ids")
-        texts_ = docs.select(F.col("doc_id").cast("long"), "text").join(small(ids), "doc_id").select("node", "text")
-        # another row with that id, but another text, is another node
-        return texts_.mapInArrow(_hashed(n), "node long, s binary")
-
-    right = found("b").select(F.col("node").alias("b"), F.col("s").alias("t")).join(small(pairs), "b")
-    both = right.join(found("a").select(F.col("node").alias("a"), "s"), "a").select("a", "b", "s", "t")
+    pairs = Stored(may_link(pairs, nodes, percent), "pairs")
+    sides = pairs.read().select(F.col("a").alias("node")).unionByName(pairs.read().select(F.col("b").alias("node"))).distinct()
+    ids = Stored(nodes.select("doc_id", "node").join(sides, "node"), "ids")
+    texts_ = docs.select(F.col("doc_id").cast("long"), "text").join(small(ids.read()), "doc_id").select("node", "text")
+    # another row with that id, but another text, is another node; repeated rows give one set
+    found = Stored(texts_.mapInArrow(_hashed(n), "node long, s binary"), "sets")
+    once = found.read().dropDuplicates(["node"])
+    both = once.select(F.col("node").alias("b"), F.col("s").alias("t")).join(small(pairs.read()), "b").join(once.select(F.col("node").alias("a"), "s"), "a").select("a", "b", "s", "t")
 
     def part(batches):
         for b in batches:
@@ -150,72 +155,108 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent:
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(part, "a long, b long").distinct()
+    out = Stored(both.mapInArrow(part, "a long, b long"), "links")
+    for done in (pairs, ids, found):
+        done.drop()
+    free(docs.sparkSession)
+    return out
+
+
+def fits(size, pos, z, p, percent: int):
+    """Of sets that link, the smaller is long enough, and what can still follow the shared shingle suffices. Columns or arrays."""
+    low, high, least = (F.least, F.greatest, F.ceil) if isinstance(size, F.Column) else (np.minimum, np.maximum, np.ceil)
+    return (low(size, z) * 100 >= percent * high(size, z)) & (low(size - pos, z - p) + low(pos, p) >= least(percent * (size + z) / (100.0 + percent)))
+
+
+def across(rows: DataFrame, label: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """The pairs (a, b) of nodes of one list and two components that may link; of each two components the closest one, or all."""
+    dealt = rows.join(small(label), "node", "left").withColumn("c", F.coalesce("component", "node")).withColumn("b", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("b", "j").alias("b1"), F.greatest("b", "j").alias("b2"), "b", "node", "c", "size", "pos", "sig")
+    dealt = dealt.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
+
+    def part(batches):
+        for t, cuts in segments(batches, 3):
+            b1, b2, b, node, c, size, pos = (t.column(k).to_numpy() for k in range(1, 8))
+            sig = matrix(t.column(8))
+            for i, j in pairs_within(cuts):
+                ok = (c[i] != c[j]) & ((b[i] != b[j]) | (b1[i] == b2[i]))
+                i, j = i[ok], j[ok]
+                ok = fits(size[i], pos[i], size[j], pos[j], percent)
+                i, j = i[ok], j[ok]
+                spare = allowed(size[i], size[j], percent) - np.bitwise_count(sig[i] ^ sig[j]).sum(1, dtype=np.int64)
+                i, j, spare = i[spare >= 0], j[spare >= 0], spare[spare >= 0]
+                x, y = np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
+                if closest and len(i):
+                    by = np.lexsort((-spare, y, x))
+                    first = np.ones(len(by), bool)
+                    first[1:] = (x[by][1:] != x[by][:-1]) | (y[by][1:] != y[by][:-1])
+                    i, j, x, y, spare = (v[by[first]] for v in (i, j, x, y, spare))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), x, y, spare)], ["a", "b", "x", "y", "spare"])
+
+    pairs = dealt.mapInArrow(part, "a long, b long, x long, y long, spare long")
+    if closest:
+        return pairs.groupBy("x", "y").agg(F.max(F.struct("spare", "a", "b")).alias("best")).select("best.a", "best.b")
+    return pairs.select("a", "b").distinct()
+
+
+def linked(docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> list[Stored]:
+    """The links (a, b) of nodes that join every component. nodes: node, grp, size, prefix, sig, bits and doc_id, stored."""
+    crowded = nodes.groupBy("grp").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").select("grp", "head")
+    rest = Stored(nodes.select("grp", "node").join(crowded, "grp").where("node <> head"), "rest")  # all but the least node of a group
+    posted = nodes.join(small(rest.read().select("node")), "node", "left_anti").select("grp", "node", F.col("size").cast("int"), F.posexplode("prefix").alias("pos", "token"))
+    busy = Stored(posted.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token"), "busy")
+    lists_ = Stored(posted.join(busy.read(), "token").select("token", "grp", "node", "size", "pos"), "lists")
+    busy.drop()
+    free(docs.sparkSession)
+
+    lead = lists_.read().groupBy("token").agg(F.min(F.struct(F.xxhash64("grp"), F.col("grp").alias("g"), F.col("node").alias("m"), F.col("size").alias("z"), F.col("pos").alias("p"))).alias("lead"))
+    star = lists_.read().join(lead, "token").where(F.col("grp") != F.col("lead.g")).where(fits(F.col("size"), F.col("pos"), F.col("lead.z"), F.col("lead.p"), percent))
+    pairs = star.select(F.least("node", "lead.m").alias("a"), F.greatest("node", "lead.m").alias("b")).distinct().unionByName(rest.read().select(F.col("head").alias("a"), F.col("node").alias("b")))
+    tried = [verify(pairs, docs, nodes, n, percent)]
+    label = Stored(components(tried[0].read()), "labels")
+
+    # lists by node, and one for each group of several nodes; those of one component go
+    more = rest.read().join(nodes.select("node", "size"), "node").select(F.col("grp").alias("token"), "grp", "node", F.col("size").cast("int"), F.lit(0).alias("pos"))
+    more = more.unionByName(more.join(rest.read().select("node", "head"), "node").select("token", "grp", F.col("head").alias("node"), "size", "pos").distinct())
+    rows = lists_.read().unionByName(lists_.read().drop("node").join(small(rest.read().select("grp", "node")), "grp").select("token", "grp", "node", "size", "pos")).unionByName(more)
+    c = F.coalesce("component", "node")
+    open_ = rows.join(small(label.read()), "node", "left").groupBy("token").agg(F.min(c).alias("x"), F.max(c).alias("y"), F.count("*").alias("n")).where("x < y")
+    open_ = Stored(open_.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
+    rows = Stored(rows.join(open_.read(), "token").join(nodes.select("node", "sig"), "node").select("token", "node", "size", "pos", "blocks", "sig"), "rows")
+    for done in (lists_, rest, open_):
+        done.drop()
+    for r in range(CLOSEST + 1):
+        free(docs.sparkSession)
+        tried.append(verify(across(rows.read(), label.read(), percent, r < CLOSEST), docs, nodes, n, percent))
+        label.drop()
+        if r < CLOSEST:
+            label = Stored(components(_all(tried)), "labels")
+    rows.drop()
+    return tried
 
 
 def join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text), and n_links, the links that were verified for its set."""
+    """doc_id, n_shingles, component_id and n_verified (links of its set that were verified, as many as the components need) of every row of
+    ``docs`` (doc_id, text); node and row_node tell equal sets and components apart where ids repeat."""
     keys = Stored(keyed(docs, sketch(docs, n), n, percent), "keys")
-    nodes = keys.read().where("node is not null").groupBy("node").agg(F.first("grp").alias("grp"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
-    nodes = stored(nodes, "nodes")
-    members = nodes.select("node", "grp")
-    # postings: one for each group and shingle of its prefix, from the first document of the group's least node
-    heads = small(stored(nodes.join(nodes.groupBy("grp").agg(F.min("node").alias("node")), ["grp", "node"]).select("node", "doc_id"), "heads"))
-    posted = keys.read().join(heads, ["node", "doc_id"]).select("grp", "size", F.posexplode("prefix").alias("pos", "token"))
-    busy = small(stored(posted.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x < y").select("token"), "busy"))
-    lists_ = Stored(posted.join(busy, "token").select("token", "grp", F.col("size").cast("int").alias("size"), "pos"), "lists")
-    crowded = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-
-    # within groups of several nodes, and then among groups
-    star = members.join(crowded, "grp", "left_semi")
-    links = Stored(_within(star, docs, nodes, n, percent), "found")
-    tried, known = [], links.read()
-    for r in range(STARS + 1):
-        labels = Stored(components(known), "labels")
-        named = labels.read().withColumnRenamed("component", "c")
-        of = Stored(members.join(named, "node", "left").select("node", "grp", F.coalesce("c", "node").alias("c")), "of")
-        # a group whose members are in several components stands in its lists once for each
-        group = of.read().select("grp", "c").distinct()
-        rows = Stored(lists_.read().join(group, "grp").withColumn("h", F.xxhash64("grp", F.lit(r))), "rows")
-        open_ = stored(rows.read().groupBy("token").agg((F.min("c") < F.max("c")).alias("open"), F.min("h").alias("lead")).where("open"), "open")
-        last = r == STARS or open_.isEmpty()
-        open_rows = rows.read().join(small(open_), "token")
-        other = open_rows if last else open_rows.where("h = lead")
-        other = other.select("token", F.col("grp").alias("g"), F.col("size").alias("z"), F.col("pos").alias("p"), F.col("c").alias("d"))
-        pairs = open_rows.join(other, "token").where(f"grp {'<' if last else '<>'} g and c <> d")
-        # of sets that link, the smaller is long enough and what can still follow the shared shingle suffices
-        least = F.expr(f"ceil({percent} * (size + z) / {100 + percent}D)")
-        pairs = pairs.where((F.least("size", "z") * 100 >= percent * F.greatest("size", "z")) & (F.least(F.col("size") - F.col("pos"), F.col("z") - F.col("p")) + F.least("pos", "p") >= least))
-        pairs = pairs.select(F.least("grp", "g").alias("g1"), F.greatest("grp", "g").alias("g2")).distinct()
-        if last:
-            split = group.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))
-            pairs = pairs.unionByName(split)
-        side = lambda g, node, c: of.read().select(F.col("grp").alias(g), F.col("node").alias(node), F.col("c").alias(c))
-        todo = pairs.join(side("g1", "a", "ca"), "g1").join(side("g2", "b", "cb"), "g2").where("ca <> cb and (g1 <> g2 or a < b)").select("a", "b")
-        tried.append(Stored(verify(todo, docs, nodes, n, percent), "found"))
-        if not last:  # lists of one component stay so and are left out from now on
-            shorter = Stored(lists_.read().join(small(open_.select("token")), "token", "left_semi"), "lists")
-            known = stored(labels.read().select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(tried[-1].read()), "known")
-            for done in (lists_, labels, of, rows):
-                done.drop()
-            lists_ = shorter
-            named = group = open_ = open_rows = other = pairs = todo = None
-            free(docs.sparkSession)
-        else:
-            break
-    every = stored(_all(tried, links), "found")
-    labels = stored(components(every), "labels")
-    sides = every.select(F.col("a").alias("node")).unionByName(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    label = nodes.join(labels, "node", "left").join(sides, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    label = stored(label, "label")
-    final = label.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = stored(label.join(final, "component").select("node", "component_id", "n_links"), "named")
-    return keys.read().select("doc_id", F.col("size").alias("n_shingles"), "node").join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def _all(tried: list[Stored], links: Stored) -> DataFrame:
-    out = links.read()
-    for t in tried:
+    first = lambda *names: [F.first(c).alias(c) for c in names]  # noqa: E731  equal in all rows of a node
+    nodes = Stored(keys.read().where("node is not null").groupBy("node").agg(*first("grp", "size", "prefix", "sig", "bits"), F.min("doc_id").alias("doc_id")), "nodes")
+    tried = linked(docs, nodes.read(), n, percent)
+    labels = Stored(components(_all(tried)), "labels")
+    ends = _all(tried).select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_verified"))
+    label = Stored(nodes.read().select("node", "doc_id").join(labels.read(), "node", "left").join(ends, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("class"), F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified")), "label")
+    least = label.read().groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    named = label.read().join(least, "class").select("node", "class", "component_id", "n_verified")
+    out = keys.read().select("doc_id", F.col("size").alias("n_shingles"), "node").join(named, "node", "left")
+    out = Stored(out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified"), "node", "class"), "joined")
+    for done in (keys, nodes, labels, label, *tried):
+        done.drop()
+    return out.read()
+
+
+def _all(tried: list[Stored]) -> DataFrame:
+    out = tried[0].read()
+    for t in tried[1:]:
         out = out.unionByName(t.read())
     return out
 
@@ -233,19 +274,38 @@ def _hashed(n: int):
     return part
 
 
-def _within(star: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links among the nodes of one group: of each with the least. Their prefixes are equal, so most pairs link; what doesn't is tried again among lists."""
-    lead = star.groupBy("grp").agg(F.min("node").alias("a"))
-    return verify(star.join(lead, "grp").where("node <> a").select("a", F.col("node").alias("b")), docs, nodes, n, percent)
+def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """The row with the smallest doc_id of each component, with its own columns; of rows that share id and set, any one. Rows with empty sets stay, and
+    so do those without an id."""
+    columns = docs.columns
+    tagged = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    rows = join(docs.select("doc_id", "text"), n, percent).where("doc_id is not null")
+    full = rows.where("node is not null")
+    kept = full.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("k")).select("k.*")
+    # an id may stand for several rows: only then their sets are told apart by their texts
+    twice = Stored(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "twice")
+    gone = full.select("doc_id", "node").join(kept, ["doc_id", "node"], "left_anti").select(F.col("doc_id").alias("__id"))
+    gone = Stored(gone.join(small(twice.read()), "__id", "left_anti").unionByName(twice.read()), "gone")
+    out = tagged.join(small(gone.read()), "__id", "left_anti").select(*columns)
+    if twice.read().isEmpty():
+        return out
+    again = tagged.join(small(twice.read()), "__id", "left_semi")
+    again = again.join(noded(again, n).withColumnRenamed("text", "__text"), (F.col("__id") == F.col("__of")) & (F.col("text") == F.col("__text")), "left")
+    chosen = Stored(kept.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")), "kept")
+    some = again.where("__node is not null").join(small(chosen.read()), ["__id", "__node"], "left_semi").dropDuplicates(["__id", "__node"])
+    return out.unionByName(again.where("__node is null").select(*columns)).unionByName(some.select(*columns))
+
+
+def noded(rows: DataFrame, n: int) -> DataFrame:
+    """(__of, text, __node) of the distinct ids and texts of some rows; the node as in keyed()."""
 
+    def part(batches):
+        for b in batches:
+            for lo, hi, each in sets(b.column(1), n):
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array([_hash(s) if len(s) else None for s in each], pa.int64())], ["__of", "text", "__node"])
 
-def one_of_each(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest doc_id of each component, with its own columns. Documents with empty sets and null ids stay."""
-    kept = join(docs.select("doc_id", "text"), n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = stored(kept, "kept")
-    out = docs.join(small(kept), "doc_id", "left_semi")
-    return out.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return rows.select("__id", "text").distinct().mapInArrow(part, "__of long, text string, __node long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("node", "class")
