@@ -31,10 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Stored:
     """A table written to the shared folder: it cuts lineage and survives lost executors."""
 
-    def __init__(self, df: DataFrame, tag: str):
+    def __init__(self, df: DataFrame, tag: str, *by: str):
+        """by: columns that get a folder for each value."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.partitionBy(*by).parquet(self.path)
         self.schema = df.schema
 
     def read(self) -> DataFrame:

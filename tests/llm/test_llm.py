@@ -77,7 +77,7 @@ def test_parity_never_loses():
 
 
 def test_passages(spark, docs, rows):
-    r = {x["doc_id"]: x for x in passages.report(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text")).collect()}
+    r = {x["doc_id"]: x for x in passages.report(docs.select("doc_id", "text")).collect()}
     assert r[6]["class_id"] == 5 and [(s["word"], s["n_words"], s["other"]) for s in r[6]["spans"]] == [(0, 70, 5)]
     assert r[2]["n_words_repeated"] == 300 and not {7, 8, 9, 10, 12, 13} & set(r)
     out = {x["doc_id"]: x["text"] for x in passages.without_repeats(docs.where("doc_id in (5, 6, 7, 8)")).collect()}
@@ -119,8 +119,8 @@ def test_passages_chains_of_near_passages(spark, monkeypatch):
     # brute force: each two documents of a chain; the key's chance stays, 1 - (1 - s)**functions: twelve functions leave next to none
     want = {(x, y) for k in range(chains) for x in (10 * k + 2, 10 * k + 3) for y in range(10 * k + 1, x) if passages.repeats(held[x], held[y], 46, 0.8)}
     assert len(want) == 2 * chains and all(x - y == 1 for x, y in want)
-    for stars in (passages.STARS, 0):
-        monkeypatch.setattr(passages, "STARS", stars)
+    for closest in (passages.CLOSEST, 0):
+        monkeypatch.setattr(passages, "CLOSEST", closest)
         monkeypatch.setattr(passages, "BLOCK", 2)
         r = passages.report(d, functions=12).collect()
         assert {(x["doc_id"], s["other"]) for x in r for s in x["spans"]} == want
