@@ -7,7 +7,7 @@ probed by its shingles that are some window's prefix; length and position bounds
 and what remains is verified word by word.
 
 Nulls, in either table's text: no words. Empty tables: no items leave every document clean; no documents give no rows.
-Repeated item ids count once in a document. Null item ids are left out of the list of ids. Ties in rarity go to the smaller hash.
+Item ids may be of any type and are compared as strings; repeated ones count once in a document, null ones hit but are left out of the list of ids. Ties in rarity go to the smaller hash.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ ONE_IN = 20
 class Index:
     """Windows of some items, by prefix shingle."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int):
+    def __init__(self, items: list[tuple[str, str]], size: int):
         self.size = size
         windows: dict[bytes, list] = {}
         for item, text in items:
@@ -39,7 +39,7 @@ class Index:
                     h = w.hash[i : i + size]
                     windows.setdefault(h.tobytes(), [h, set()])[1].add(item)
         self.words = [h for h, _ in windows.values()]
-        self.items = [sorted(s) for _, s in windows.values()]
+        self.items = [sorted(s - {None}) for _, s in windows.values()]
         self.length = np.array([len(h) for h in self.words], np.int64)
         #: for each window its shingles' hashes
         self.parts = [np.array([whole(h[j : j + k]) for j in range(len(h) - k + 1)]) for h in self.words for k in [min(SHINGLE, len(h))]]
@@ -120,7 +120,7 @@ def count_tokens(docs: DataFrame, index) -> np.ndarray:
 
 def blocks(benchmark: DataFrame, block_bytes: int):
     """The items in lists of about block_bytes of text, one after the other: the driver holds one at a time."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null")
+    items = benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null")
     out, size = [], 0
     for r in items.toLocalIterator():
         if out and size + len(r[1].encode()) > block_bytes:
@@ -135,14 +135,14 @@ def blocks(benchmark: DataFrame, block_bytes: int):
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, covered (bits of the words inside occurrences, packed) and items (their item ids, distinct).
 
-    The benchmark goes to the workers in blocks of at most ``block_bytes`` of text (or one item): each further block is one more
-    narrow pass that adds to covered and items, without an exchange.
+    The benchmark goes to the workers in blocks of at most ``block_bytes`` of text (or one item). Each further block is one more scan that counts its
+    shingles and one more narrow step, without an exchange, that adds to covered and items; a worker holds one block's index for each step.
     """
     spark: SparkSession = docs.sparkSession
     clash = {"n_words", "n_hit", "covered", "items"} & set(docs.columns)
     if clash:
         docs = docs.drop(*clash)
-    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "n_hit": F.lit(None).cast("long"), "covered": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<long>")})
+    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "n_hit": F.lit(None).cast("long"), "covered": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
     any_block = False
     for items in blocks(benchmark, block_bytes):
         any_block = True
@@ -182,7 +182,7 @@ def _marker(index):
                     covered.append(bits or old)
                     ids = {x for k in window[by[cuts[i] : cuts[i + 1]]] for x in index.value.items[k]} if mine else set()
                     found.append(sorted((ids | set(was["items"][lo + i].as_py() or ())) - {None}))
-            new = {"n_words": pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), "covered": pa.array(covered, pa.binary()), "n_hit": pa.array([int.from_bytes(b or b"").bit_count() for b in covered], pa.int64()), "items": pa.array(found, pa.list_(pa.int64()))}
+            new = {"n_words": pa.array(np.concatenate(n_words) if n_words else [], pa.int64()), "covered": pa.array(covered, pa.binary()), "n_hit": pa.array([int.from_bytes(b or b"").bit_count() for b in covered], pa.int64()), "items": pa.array(found, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(j)) for j, c in enumerate(batch.schema.names)], batch.schema.names)
 
     return mark
@@ -202,7 +202,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     r = report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
+    ids = F.concat_ws(",", F.array_sort("items"))
     return r.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 

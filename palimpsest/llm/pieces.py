@@ -78,6 +78,10 @@ class Model:
         self.decimal = [str(i) for i in range(n)]
         other = "".join(re.escape(c) for c in sorted(self.chars) if c != BLANK)
         self.stretch = re.compile(f"{BLANK}*[{other}]+|{BLANK}+|[^{BLANK}{other}]+")
+        # a model may also normalise texts or drop blanks, which is not done here
+        for probe in ("  a  b ", "ﬁ ① Ａ e\u0301", "\t x\n", ""):
+            if self.encode(probe) != sp.encode(probe):
+                raise ValueError("this model changes texts before it encodes them")
 
     def _halve(self, p: str) -> tuple[str, str] | None:
         """The last merge that makes p of its characters; None if they are merged to something else."""
@@ -199,7 +203,7 @@ class Model:
 
 
 _models: dict[str, Model] = {}
-_kept: dict[str, list[dict[str, str]]] = {}
+_kept: dict[str, list[dict[str, tuple[str, bytes]]]] = {}
 
 
 def model(path: str) -> Model:
@@ -211,23 +215,21 @@ def model(path: str) -> Model:
 class Digest:
     """Encodes whole texts with a cache: the ids as decimals and the decoded text.
 
-    The cache has two generations of at most CACHE stretches: what is used of the old one moves to the new one. It holds the
-    decimals alone: each new stretch's ids are decoded at once, and what they decode to is the stretch (else it isn't kept).
+    The cache has two generations of at most CACHE stretches: what is used of the old one moves to the new one. It holds for each
+    stretch the decimals of its ids and the bytes that those ids are decoded to; pieces of bytes never cross a stretch.
     """
 
     def __init__(self, path: str):
         self.model = model(path)
-        self.new, self.old = _kept.setdefault(path, [{}, {}])
+        self.new, self.old = _kept.setdefault(path, [{}, {}])  # stretch: (decimals, bytes)
         #: what lets a text be cut by split() alone
         self.plain = self.model.chars - {BLANK} | {" ", "\n"}
 
-    def of(self, stretch: str) -> str:
+    def of(self, stretch: str) -> tuple[str, bytes]:
         got = self.old.get(stretch)
         if got is None:
             decimal, ids = self.model.decimal, self.model.ids(stretch)
-            got = " ".join([decimal[i] for i in ids])
-            if self.model.joined(ids).decode() != stretch.replace(BLANK, " "):
-                raise ValueError(f"{stretch!r} isn't decoded to itself")
+            got = " ".join([decimal[i] for i in ids]), self.model.joined(ids)
         if len(stretch) <= CACHE_CHARS:
             if len(self.new) >= CACHE:
                 self.old.clear()
@@ -253,12 +255,16 @@ class Digest:
             out += words
         return out
 
-    def __call__(self, text: str) -> tuple[str, str]:
-        ids = list(map(self.new.get, words := self.stretches(text)))
-        if None in ids:
-            ids = [d or self.of(w) for d, w in zip(ids, words, strict=True)]
-        ids.append(self.model.decimal[self.model.eos])
-        return " ".join(ids), "".join(words).replace(BLANK, " ")[1:]
+    def __call__(self, text: str) -> tuple[str, bytes]:
+        """The ids as decimals and the UTF-8 bytes of what they are decoded to."""
+        got = list(map(self.new.get, words := self.stretches(text)))
+        if None in got:
+            got = [d or self.of(w) for d, w in zip(got, words, strict=True)]
+        end = self.model.decimal[self.model.eos]
+        if not got:
+            return end, b""
+        ids, parts = zip(*got, strict=True)
+        return f"{' '.join(ids)} {end}", b"".join(parts).removeprefix(b" ")
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -281,14 +287,17 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     def part(batches):
         of = Digest(path)
         gc.disable()  # the cache holds many small objects and no cycles
-        for b in batches:
-            n, ids, text = [], [], []
-            for t in b.column(1):
-                d, back = of(t.as_py() or "")
-                n.append(d.count(" ") + 1)
-                ids.append(hashlib.sha256(d.encode()).hexdigest())
-                text.append(hashlib.sha256(back.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for b in batches:
+                n, ids, text = [], [], []
+                for t in b.column(1):
+                    d, back = of(t.as_py() or "")
+                    n.append(d.count(" ") + 1)
+                    ids.append(hashlib.sha256(d.encode()).hexdigest())
+                    text.append(hashlib.sha256(back).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            gc.enable()
 
     return docs.select("doc_id", "text").mapInArrow(part, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -4,7 +4,7 @@ under the two, and a sample without replacement is drawn by Gumbel top-k: the k
 Features are words, pairs of words, runs of marks, pairs of these, and words that repeat the one before, hashed to ``BUCKETS``. Raw counts come from all documents;
 target counts from the documents that a bounded sample of labels marks as good. Noise follows from id and seed, so a run can be repeated.
 
-Nulls and empty texts have a log weight of 0. Ties at the boundary go to the smaller id; repeated rows have equal keys. Without labels all log weights are 0. Empty tables give no rows.
+Nulls and empty texts have a log weight of 0. Ties at the boundary go to the smaller id, then to the lesser text; repeated rows and rows without an id each count as a row, with equal keys where id and text are equal. Columns named log_weight or gumbel_key are replaced. Without labels all log weights are 0. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import MARKS, mix, small, stored, texts
+from ._shared import MARKS, mix, stored, texts
 
 BUCKETS = 1 << 16
 #: Labelled rows that the target model may take, at most; part of the documents that is drawn; seed of the noise.
@@ -24,7 +24,6 @@ RUNS = ~MARKS | np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 def features(column: pa.Array):
     """(from row, to row, bucket, text) of all features, repeated as they occur."""
-    one = pa.array([], pa.string())  # noqa: F841
     for (lo, hi, w), (_, _, r) in zip(texts(column, MARKS), texts(column, RUNS), strict=True):
         h, doc = [], []
         for kind, t in ((1, w), (2, r)):
@@ -97,21 +96,19 @@ def kth(keys: DataFrame, column: str, k: int, parts: int = 1024, few: int = 1000
 
 
 def sampled(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """The documents drawn (a share of all rows), with their columns, log_weight and gumbel_key."""
+    """The rows drawn (a share of all rows), with all their columns, log_weight and gumbel_key; the weights of the rows drawn are made anew from the texts."""
     out = weighed(docs, models(docs, labels), seed)
-    keys = stored(out.select("doc_id", "log_weight", "gumbel_key"), "keys")
-    n = keys.count()
-    k = round(share * n)
+    keys = stored(out.select("doc_id", "gumbel_key"), "keys")
+    k = round(share * keys.count())
     at = kth(keys, "gumbel_key", k)
     if at is None:
         return out.where("false")
-    over = keys.where(F.col("gumbel_key") > at).count()
-    # of the rows at the boundary as many as fit, by id: equal keys mean repeated ids, so few rows
-    last = keys.where(F.col("gumbel_key") == at).orderBy("doc_id").limit(k - over)
-    drawn = stored(keys.where(F.col("gumbel_key") > at).unionByName(last), "drawn")
-    if set(docs.columns) <= {"doc_id", "text"}:
-        return drawn
-    return docs.join(small(drawn.dropDuplicates(["doc_id"])), "doc_id")
+    over, tied = keys.agg(F.count_if(F.col("gumbel_key") > at), F.count_if(F.col("gumbel_key") == at)).first()
+    if over + tied == k:
+        return out.where(F.col("gumbel_key") >= at)
+    # of the rows at the boundary as many as fit, by id and text
+    last = out.where(F.col("gumbel_key") == at).orderBy("doc_id", "text").limit(k - over)
+    return out.where(F.col("gumbel_key") > at).unionByName(last)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

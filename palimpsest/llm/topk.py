@@ -7,7 +7,7 @@ complement. The top k are then taken from the most significant sum bitmap downwa
 chose is scored once more with whole numbers, and blocks are merged by score.
 
 Vectors that are null or hold a null or a number that isn't finite take no part, nor do rows without an id. Shorter vectors count as filled up with zeros.
-Components beyond 2**40 raise an error. Rows that share the query's id are its own; repeated query rows (same id and vector) count
+Vectors whose scores might not fit 62 bits (number of components times both largest ones) raise an error. Rows that share the query's id are its own; repeated query rows (same id and vector) count
 once. Empty tables give no rows.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 #: Rows in a block, queries in a pack, packs that meet a block in one group: these bound what one group holds.
 BLOCK, PACK, PACKS = 16_384, 128, 8
-LARGEST = 1 << 40
+LARGEST = 1 << 62
 
 
 class Slices:
@@ -112,7 +112,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     far = F.max(F.greatest(F.abs(F.array_max("x")), F.abs(F.array_min("x"))))
     n, dims, most = v.agg(F.count("*"), F.max(F.size("x")), far).first()
     n_q, dims_q, most_q = q.agg(F.count("*"), F.max(F.size("x")), far).first()
-    if max(most or 0, most_q or 0) > LARGEST:
+    if max(dims or 0, dims_q or 0) * max(most or 0, 1) * max(most_q or 0, 1) > LARGEST:
         raise ValueError("components are too large for exact scores")
     dims, blocks, packs = max(dims or 0, dims_q or 0, 1), max(1, math.ceil(n / block)), max(1, math.ceil(n_q / PACK))
     groups = math.ceil(packs / PACKS)

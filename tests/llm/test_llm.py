@@ -188,7 +188,7 @@ def test_pieces_are_the_librarys(spark, docs, rows):
     for text in ["", " ", "a" * 300, *("".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(400))]:
         ids = lib.encode(text, add_eos=True)
         assert own.encode(text, True) == ids and own.decode(ids) == lib.decode(ids)
-        assert digest(text) == (" ".join(map(str, ids)), lib.decode(ids))
+        assert digest(text) == (" ".join(map(str, ids)), lib.decode(ids).encode())
     got = Counter((x["doc_id"], x["n_tokens"], x["ids_sha256"]) for x in pieces.digest(docs, path).collect())
     sha = lambda ids: hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert got == Counter((d, len(ids), sha(ids)) for d, t in rows for ids in [lib.encode(t or "", add_eos=True)])
@@ -222,7 +222,7 @@ def test_sharding(spark, docs, rows, law):
         assert slots == list(range(len(slots)))
     if law == "rows":
         n = Counter(r["shard"] for r in got)
-        assert max(n.values()) - min(n.get(s, 0) for s in range(4)) <= 2  # one row is there twice
+        assert max(n.values()) - min(n.get(s, 0) for s in range(4)) <= 1
     if law == "key":
         assert all(r["grown_shard"] in (r["shard"], 4) for r in got)
     assert sharding.sharded(docs.where("false"), 4, law).count() == 0
