@@ -1,9 +1,10 @@
-"""Tokens: lower case, letters and digits, diacritics folded."""
+"""Tokens: runs of letters and digits, lower case, diacritics folded; one definition for texts and queries."""
 
 from __future__ import annotations
 
 import re
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,35 +12,37 @@ from ..schema import QUERY_TOKENS
 
 #: Which letters fold to which.
 FOLD = {
-    "a": "àáâãäåāăą",
+    "a": "àáâãäåāăąæ",
     "e": "èéêëēĕėęě",
     "i": "ìíîïĩīĭį",
-    "o": "òóôõöøōŏő",
+    "o": "òóôõöøōŏőœ",
     "u": "ùúûüũūŭůűų",
     "y": "ýÿŷ",
     "c": "çćĉċč",
     "n": "ñńņň",
     "s": "ß",
 }
-FOLD_LIGATURES = {"æ": "a", "œ": "o"}
-FROM = "".join(FOLD.values()) + "".join(FOLD_LIGATURES)
-TO = "".join(k * len(v) for k, v in FOLD.items()) + "".join(FOLD_LIGATURES.values())
+FROM = "".join(FOLD.values())
+TO = "".join(k * len(v) for k, v in FOLD.items())
 
 
 def tokens(text: str | Column) -> Column:
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.translate(F.lower(c), FROM, TO), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
+    return F.transform(F.filter(F.split(c, r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != ""), lambda t: F.translate(F.lower(t), FROM, TO))
+
+
+def words(text: str) -> list[str]:
+    """A text's tokens before folding, cut as tokens() cuts."""
+    return [w.lower() for w in regex.split(r"[^\p{Alphabetic}\p{N}]+", text) if w]
 
 
 def query_terms(query: str) -> list[str]:
     """The first tokens of a query, repeats kept."""
-    words = [w for w in re.split(r"[^\w]|_", query.lower()) if w]
-    return [w.translate(str.maketrans(FROM, TO)) for w in words[:QUERY_TOKENS]]
+    return [w.translate(str.maketrans(FROM, TO)) for w in words(query)[:QUERY_TOKENS]]
 
 
 def match_expression(query: str) -> str | None:
-    words = [w for w in re.split(r"[^\w]|_", query.lower()) if w][:QUERY_TOKENS]
-    return " OR ".join(f'"{w}"' for w in words) or None
+    return " OR ".join(f'"{w}"' for w in words(query)[:QUERY_TOKENS]) or None
 
 
 def parse_match(expression: str) -> list[str]:

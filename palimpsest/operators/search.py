@@ -71,24 +71,23 @@ def batch_nearest(memory: DataFrame, queries: DataFrame, k: int, now: int, block
     out, held = None, []
 
     def run(held):
-        by: dict[str, list] = {}
+        by: dict[tuple[str, int], list] = {}
         for r in held:
-            by.setdefault(r["agent_id"], []).append((r["vec_id"], r["embedding"]))
+            by.setdefault((r["agent_id"], len(r["embedding"])), []).append((r["vec_id"], r["embedding"]))
         asks = spark.sparkContext.broadcast({a: (np.array([i for i, _ in v]), _unit(np.array([e for _, e in v], float))) for a, v in by.items()})
 
         def part(batches):
             for b in batches:
                 agents = b.column(0).to_numpy(zero_copy_only=False)
                 ids = b.column(1).to_numpy()
-                flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
-                dim = len(flat) // max(1, len(ids))
-                x = _unit(flat.reshape(len(ids), dim).astype(float)) if len(ids) else None
+                sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
                 cols = [[], [], [], []]
-                for a, (qi, q) in asks.value.items():
-                    at = np.flatnonzero(agents == a)
-                    if not len(at) or q.shape[1] != dim:
+                for (a, dim), (qi, q) in asks.value.items():
+                    at = np.flatnonzero((agents == a) & (sizes == dim))  # vectors of another length are no neighbours
+                    if not len(at) or not dim:
                         continue
-                    d = 1 - q @ x[at].T
+                    x = _unit(b.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim).astype(float))
+                    d = 1 - q @ x.T
                     d[qi[:, None] == ids[at][None]] = np.inf
                     for i, row in enumerate(d):
                         best = np.lexsort((ids[at], row))[:k] if len(row) <= 4 * k else _least(row, ids[at], k)

@@ -41,7 +41,7 @@ def fold(log: DataFrame) -> DataFrame:
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, Path(path)
-        self.path.mkdir(parents=True, exist_ok=True)
+        (self.path / "log").mkdir(parents=True, exist_ok=True)  # apart from manifest and snapshots, so that it can be watched
         if not (self.path / "CURRENT").exists():
             self._commit({"snapshot": None, "log": [], "seq": 0, "vec": 0, "agents": []})
 
@@ -76,7 +76,7 @@ class Store:
             m["seq"] += 1
             r["seq"] = m["seq"]
         blank = dict.fromkeys(f.name for f in MUTATION)
-        name = f"log-{m['seq']:012d}-{uuid.uuid4().hex}"
+        name = f"log/{m['seq']:012d}-{uuid.uuid4().hex}"
         table = self.spark.createDataFrame([tuple((blank | r)[f.name] for f in MUTATION) for r in rows], MUTATION)
         table.coalesce(1).write.parquet(str(self.path / name))
         m["log"].append(name)

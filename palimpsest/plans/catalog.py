@@ -57,7 +57,7 @@ _VIEWS = {
     "q": f"SELECT CAST(embedding AS DOUBLE[]) v FROM embeddings WHERE vec_id = {PROBE}",
     "dist": "SELECT m.*, CAST(embedding AS DOUBLE[]) e, v, list_cosine_distance(CAST(embedding AS DOUBLE[]), v) distance FROM memory m, q WHERE embedding IS NOT NULL",
     "fit": f"SELECT * FROM dist WHERE agent_id = '{AGENT}' AND layer <> 'procedural' AND {_VALID}",
-    "tok": f"SELECT agent_id, vec_id, id, layer, valid_from, valid_until, list_filter(string_split_regex(translate(lower(content), '{FROM}', '{TO}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') t FROM memory",
+    "tok": f"SELECT agent_id, vec_id, id, layer, valid_from, valid_until, list_transform(list_filter(string_split_regex(content, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda x: translate(lower(x), '{FROM}', '{TO}')) t FROM memory",
     "bm": "SELECT t0.vec_id, t0.id, t0.layer, t0.valid_from, t0.valid_until, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t0.t) / mean))) score "
     f"FROM (SELECT * FROM tok WHERE agent_id = '{AGENT}' AND len(t) > 0) t0, (SELECT count(*) n, avg(len(t)) mean FROM tok WHERE agent_id = '{AGENT}' AND len(t) > 0) s, "
     f"(SELECT vec_id, x, count(*) tf FROM (SELECT vec_id, unnest(t) x FROM tok WHERE agent_id = '{AGENT}') GROUP BY ALL) f, "

@@ -21,8 +21,8 @@ def events(log: DataFrame) -> DataFrame:
 
 
 def watch(spark: SparkSession, path: str, agent: str, layer: str | None = None) -> DataFrame:
-    """A stream of one agent's events from the log's files. Readers that fall behind lose nothing."""
-    feed = events(spark.readStream.schema(MUTATION).parquet(path).where(F.col("agent_id") == agent))
+    """A stream of one agent's events from the log of the store at ``path``. Readers that fall behind lose nothing, as long as compact() leaves the old files."""
+    feed = events(spark.readStream.schema(MUTATION).option("recursiveFileLookup", "true").parquet(f"{path}/log").where(F.col("agent_id") == agent))
     return feed.where(F.col("layer") == layer) if layer else feed
 
 

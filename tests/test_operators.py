@@ -144,3 +144,32 @@ def test_queries_agree_with_sql(spark):
         order = [x[0] for x in cur.description]
         ours = sorted(tuple(round(r[c], 6) if isinstance(r[c], float) else r[c] for c in order) for r in df.select(*[F.col(c) for c in order]).collect())
         assert ours == sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in cur.fetchall()), name
+
+
+def test_tokens_agree_with_query_terms(spark):
+    from palimpsest.functions.text import query_terms, tokens
+
+    texts = ["İstanbul şehri", "नमस्ते दुनिया", "snake_case x-1", "Œuvre Ærø ß", "日本 語", "", "ÀÉ"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tokens("t").alias("w")).orderBy("i").collect()
+    assert [r["w"] for r in got] == [query_terms(t) for t in texts]
+
+
+def test_batch_nearest_of_mixed_lengths(spark):
+    from palimpsest.operators.search import batch_nearest
+
+    rows = [("a", 1, [1.0, 0.0]), ("a", 2, [0.0, 1.0]), ("a", 3, [1.0, 0.0, 0.0]), ("a", 4, [0.9, 0.1]), ("a", 5, [1.0])]
+    m = spark.createDataFrame([(*r, "semantic", 0, None) for r in rows], "agent_id string, vec_id long, embedding array<float>, layer string, valid_from long, valid_until long")
+    got = {(r["query_id"], r["vec_id"]) for r in batch_nearest(m, m.where("vec_id in (1, 3, 5)"), 5, 10).collect()}
+    assert got == {(1, 2), (1, 4)}
+
+
+def test_watch_on_a_store(spark, tmp_path):
+    from palimpsest.operators.store import Store
+    from palimpsest.streaming.events import watch
+
+    s = Store(spark, str(tmp_path / "s"))
+    put = {"op": "put", "agent_id": "a", "id": "m1", "layer": "semantic", "content": "x", "source": "user", "valid_from": 1, "vec_id": 0, "ts": 1}
+    s.append([put, put | {"agent_id": "b", "id": "m2", "vec_id": 1}])
+    q = watch(spark, str(tmp_path / "s"), "a").writeStream.format("memory").queryName("watched").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r["kind"], r["id"]) for r in spark.table("watched").collect()] == [("remembered", "m1")]
