@@ -1,6 +1,10 @@
 """The corpus pipeline: documents are rid of toxic texts, near copies, repeated passages and benchmark texts, then encoded.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of ``docs``.
+
+Every stage takes null, empty and very long texts, null and repeated ids, empty tables and further columns. Texts without words are never toxic,
+copies, repeats or contaminated, so they stay; rows without an id stay in the stages that compare documents. Of rows with one id and one set of
+shingles one stays in near_copies; ids that stand for several texts keep one row for each text that isn't a near copy.
 """
 
 from __future__ import annotations
