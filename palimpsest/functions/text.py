@@ -26,9 +26,26 @@ FROM = "".join(FOLD.values())
 TO = "".join(k * len(v) for k, v in FOLD.items())
 
 
-def tokens(text: str | Column) -> Column:
+def spaced(text: str | Column) -> Column:
+    """A text's tokens in a row, each between two blanks of its own; '' without tokens and for null. Cut before lower-casing, which may add marks; one pass, in generated code."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.transform(F.filter(F.split(c, r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != ""), lambda t: F.translate(F.lower(t), FROM, TO))
+    cut = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{IsAlphabetic}\p{N}]+", "  "))
+    return F.when(cut == "", "").otherwise(F.concat(F.lit(" "), F.translate(F.lower(cut), FROM, TO), F.lit(" ")))
+
+
+def token_count(row: Column) -> Column:
+    """How many tokens a row made by spaced() has."""
+    return ((F.length(row) - F.length(F.replace(row, F.lit(" "), F.lit("")))) / 2).cast("long")
+
+
+def term_count(row: Column, term: str) -> Column:
+    """How often a term stands in a row made by spaced()."""
+    return ((F.length(row) - F.length(F.replace(row, F.lit(f" {term} "), F.lit("")))) / (len(term) + 2)).cast("long")
+
+
+def tokens(text: str | Column) -> Column:
+    row = spaced(text)
+    return F.when(row == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(row), "  "))
 
 
 def words(text: str) -> list[str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import expired_at, retention_score, valid_at
 from ..schema import FACT_COSINE, LAYERS
-from .search import by_distance, of_agent
+from .search import batch_nearest, by_distance, of_agent
 
 
 def list_memories(memory: DataFrame, agent: str, limit: int, now: int, layer: str | None = None, include_invalid: bool = False) -> DataFrame:
@@ -19,6 +19,30 @@ def list_memories(memory: DataFrame, agent: str, limit: int, now: int, layer: st
     return rows.orderBy(F.desc("valid_from"), "id").limit(limit)
 
 
+def get(memory: DataFrame, agent: str, ident: str) -> DataFrame:
+    """The memory of an id, valid or not; no row if there is none."""
+    return of_agent(memory, agent).where(F.col("id") == ident)
+
+
+def layer_of(memory: DataFrame, agent: str, ident: str) -> DataFrame:
+    return get(memory, agent, ident).select("layer")
+
+
+def resolve(memory: DataFrame, vec_ids: DataFrame) -> DataFrame:
+    """``vec_ids`` (vec_id) with agent_id and id; nulls where no memory has the vector."""
+    return vec_ids.join(memory.select("vec_id", "agent_id", "id"), "vec_id", "left")
+
+
+def scan(memory: DataFrame, agent: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """An agent's memories by id, from ``start`` up to but not with ``end``."""
+    rows = of_agent(memory, agent)
+    if start is not None:
+        rows = rows.where(F.col("id") >= start)
+    if end is not None:
+        rows = rows.where(F.col("id") < end)
+    return rows.orderBy("id")
+
+
 def page(memory: DataFrame, agent: str, after: str | None, limit: int) -> DataFrame:
     """The next rows by id; fewer than ``limit`` mean the end."""
     rows = of_agent(memory, agent)
@@ -44,12 +68,27 @@ def fact_known(memory: DataFrame, agent: str, content: str, vector: list[float]
     return bool(near) and 1 - near[0][0] >= FACT_COSINE
 
 
+def facts_known(memory: DataFrame, facts: DataFrame, now: int) -> DataFrame:
+    """``facts`` (agent_id, vec_id, content, embedding) as (agent_id, vec_id, known): an equal valid fact of the agent, or a nearest one, the row itself aside, at a cosine of 0.95 or more."""
+    held = memory.where(valid_at(now) & (F.col("layer") == "semantic"))
+    equal = facts.join(held.select("agent_id", "content").distinct(), ["agent_id", "content"], "left_semi").select("agent_id", "vec_id")
+    near = batch_nearest(held, facts, 1, now).where(1 - F.col("distance") >= FACT_COSINE).select("agent_id", F.col("query_id").alias("vec_id"))
+    known = equal.unionByName(near).distinct().withColumn("known", F.lit(True))
+    return facts.select("agent_id", "vec_id").join(known, ["agent_id", "vec_id"], "left").select("agent_id", "vec_id", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def agent_stats(memory: DataFrame, now: int) -> DataFrame:
     """Valid memories of each agent, by layer and in all."""
     counts = [F.count_if(F.col("layer") == name).alias(name) for name in LAYERS]
     return memory.where(valid_at(now)).groupBy("agent_id").agg(*counts, F.count_if(F.col("layer").isin(*LAYERS)).alias("total"))
 
 
+def candidates_page(memory: DataFrame, now: int, agent: str, after: str | None, limit: int) -> DataFrame:
+    """The next candidates of an agent by id; fewer than ``limit`` mean the end."""
+    rows = of_agent(forget_candidates(memory, now), agent)
+    return (rows.where(F.col("id") > after) if after is not None else rows).orderBy("id").limit(limit)
+
+
 def expired(memory: DataFrame, now: int, agent: str | None = None, after: str | None = None, limit: int | None = None) -> DataFrame:
     """(agent_id, id, valid_until) of ended memories."""
     rows = memory.where(expired_at(now)).select("agent_id", "id", "valid_until")

@@ -13,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .._stored import Stored, small
 from ..functions import vector as V
 from ..functions.predicates import recallable, similarity
-from ..functions.text import tokens
+from ..functions.text import spaced, term_count, token_count, tokens
 from ..schema import BM25_B, BM25_K1, OVERSAMPLE, RRF_K, SIGNAL_DEPTH
 
+#: Rows and queries of a block: 2 * 16 MB at 64 components.
+ROWS, ASKS = 32_768, 16_384
 FIELDS = ["id", "layer", "content", "source"]
 
 
@@ -60,57 +63,51 @@ def vector_ranking(memory: DataFrame, agent: str, query: list[float], k: int, no
     return top.select("id", (F.row_number().over(Window.orderBy("distance", "vec_id")) - 1).alias("rank"))  # at most k rows
 
 
-def batch_nearest(memory: DataFrame, queries: DataFrame, k: int, now: int, block: int = 2048) -> DataFrame:
-    """(agent_id, query_id, vec_id, distance, rank): the k nearest recallable rows of the query's own agent, itself left out.
+def batch_nearest(memory: DataFrame, queries: DataFrame, k: int, now: int) -> DataFrame:
+    """(agent_id, query_id, vec_id, distance, rank): the k nearest recallable rows of the query's own agent, itself left out; equal to 12 places is a tie.
 
-    Queries (agent_id, vec_id, embedding) go to the workers in blocks of a fixed size; each Arrow batch of memories is one matrix product for
-    each agent, and only its best k for a query are exchanged.
+    Each agent's queries (agent_id, vec_id, embedding) and rows, those of one length, are dealt over blocks; a task holds a block of either,
+    multiplies them, and only a query's best k of a block are exchanged. A hot agent has more blocks, not larger ones.
     """
-    spark = memory.sparkSession
-    rows = memory.where(recallable(now) & F.col("embedding").isNotNull()).select("agent_id", "vec_id", "embedding")
-    out, held = None, []
-
-    def run(held):
-        by: dict[tuple[str, int], list] = {}
-        for r in held:
-            by.setdefault((r["agent_id"], len(r["embedding"])), []).append((r["vec_id"], r["embedding"]))
-        asks = spark.sparkContext.broadcast({a: (np.array([i for i, _ in v]), _unit(np.array([e for _, e in v], float))) for a, v in by.items()})
-
-        def part(batches):
-            for b in batches:
-                agents = b.column(0).to_numpy(zero_copy_only=False)
-                ids = b.column(1).to_numpy()
-                sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
-                cols = [[], [], [], []]
-                for (a, dim), (qi, q) in asks.value.items():
-                    at = np.flatnonzero((agents == a) & (sizes == dim))  # vectors of another length are no neighbours
-                    if not len(at) or not dim:
-                        continue
-                    x = _unit(b.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim).astype(float))
-                    d = 1 - q @ x.T
-                    d[qi[:, None] == ids[at][None]] = np.inf
-                    for i, row in enumerate(d):
-                        best = np.lexsort((ids[at], row))[:k] if len(row) <= 4 * k else _least(row, ids[at], k)
-                        best = best[np.isfinite(row[best])]
-                        for c, v in zip(cols, (np.full(len(best), a, object), np.full(len(best), qi[i]), ids[at][best], row[best]), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["agent_id", "query_id", "vec_id", "distance"])
-
-        return rows.mapInArrow(part, "agent_id string, query_id long, vec_id long, distance double")
-
-    for r in queries.where(F.col("embedding").isNotNull()).select("agent_id", "vec_id", "embedding").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            out, held = (run(held) if out is None else out.unionByName(run(held))), []
-    if held or out is None:
-        out = run(held) if out is None else out.unionByName(run(held))
+    rows = memory.where(recallable(now) & (F.size("embedding") > 0)).select("agent_id", "vec_id", F.size("embedding").alias("dim"), "embedding")
+    asks = queries.where(F.size("embedding") > 0).select("agent_id", "vec_id", F.size("embedding").alias("dim"), "embedding")
+    key = ["agent_id", "dim"]
+    many = lambda t, size, name: t.groupBy(*key).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    blocks = Stored(many(rows, ROWS, "nr").join(many(asks, ASKS, "nq"), key), "blocks")
+    of = lambda t: t.join(small(blocks.read()), key)
+    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = of(asks).select(*key, mine("nq").alias("q"), each("nr").alias("r"), "vec_id", "embedding")
+    right = of(rows).select(*key, each("nq").alias("q"), mine("nr").alias("r"), "vec_id", "embedding")
+    right = right.toDF(*right.columns)  # columns of its own where queries and memories are one table
+
+    def block(asks: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if len(asks) and len(rows):
+            agent, (qi, q), (ids, x) = asks.column("agent_id")[0].as_py(), _vectors(asks), _vectors(rows)
+            nx = np.sqrt((x * x).sum(1))
+            for lo in range(0, len(qi), 64):
+                some = q[lo : lo + 64]
+                norm = np.sqrt((some * some).sum(1))[:, None] * nx
+                d = np.where(norm <= V.TINY, 1.0, 1 - np.divide(some @ x.T, norm, out=np.zeros_like(norm), where=norm > V.TINY)).round(12)
+                d[qi[lo : lo + 64, None] == ids[None]] = np.inf
+                for i, row in zip(qi[lo : lo + 64], d, strict=True):
+                    best = _least(row, ids, k) if len(row) > k else np.lexsort((ids, row))
+                    best = best[np.isfinite(row[best])]
+                    for c, v in zip(out, (np.full(len(best), i), ids[best], row[best]), strict=True):
+                        c.append(v)
+        agents = pa.array([agent] * sum(map(len, out[0])) if out[0] else [], pa.string())
+        return pa.Table.from_arrays([agents, *(pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True))], ["agent_id", "query_id", "vec_id", "distance"])
+
+    cell = [*key, "q", "r"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(block, "agent_id string, query_id long, vec_id long, distance double")
     w = Window.partitionBy("agent_id", "query_id").orderBy("distance", "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    n = np.sqrt((x * x).sum(1, keepdims=True))
-    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+def _vectors(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in t.column("embedding").chunks])
+    return t.column("vec_id").to_numpy(), x.astype(float).reshape(len(t), -1)
 
 
 def _least(row: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -129,32 +126,29 @@ def term_frequencies(memory: DataFrame) -> DataFrame:
 
 def document_lengths(memory: DataFrame) -> DataFrame:
     """(agent_id, vec_id, len); documents without tokens aren't counted."""
-    return memory.select("agent_id", "vec_id", F.size(tokens("content")).cast("long").alias("len")).where("len > 0")
+    return memory.select("agent_id", "vec_id", token_count(spaced("content")).alias("len")).where("len > 0")
 
 
 def corpus_statistics(memory: DataFrame) -> DataFrame:
     return document_lengths(memory).groupBy("agent_id").agg(F.count("*").alias("doc_count"), F.sum("len").alias("total_terms"))
 
 
-def _is(term: str):
-    return lambda t: t == term
-
-
 def bm25(memory: DataFrame, agent: str, terms: Iterable[str], keep: list[str] | None = None) -> DataFrame:
-    """vec_id, score and the columns of ``keep`` for the documents that hold a term. One scan makes lengths and frequencies; statistics cover
-    all the agent's documents, valid or not; repeated terms count each time."""
+    """vec_id, score and the columns of ``keep`` for the documents that hold a term. The agent's texts are read once; lengths and frequencies are
+    stored, from which statistics and scores come. Statistics cover all the agent's documents, valid or not; repeated terms count each time.
+    postings.Index answers the same without reading texts."""
     terms = list(terms)
     keep = keep or []
-    docs = of_agent(memory, agent).select("vec_id", *keep, tokens("content").alias("t")).withColumn("len", F.size("t")).where("len > 0")
     one = list(dict.fromkeys(terms))
-    docs = docs.select("vec_id", *keep, "len", *[F.size(F.filter("t", _is(w))).alias(f"tf{i}") for i, w in enumerate(one)])
+    row = F.col("_row")
+    docs = of_agent(memory, agent).select("vec_id", *keep, spaced("content").alias("_row"))
+    docs = docs.select("vec_id", *keep, token_count(row).alias("len"), *[term_count(row, w).alias(f"tf{i}") for i, w in enumerate(one)]).where("len > 0")
+    docs = Stored(docs, "lengths").read()
     stats = docs.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(one))])
     score: Column = F.lit(0.0)
     for w in terms:
         i = one.index(w)
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.col("mean")))).otherwise(0.0)
+        score = score + F.when(F.col(f"tf{i}") > 0, bm25_part(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("len"), F.col("n"), F.col("mean"))).otherwise(0.0)
     held = F.lit(False)
     for i in range(len(one)):
         held = held | (F.col(f"tf{i}") > 0)
@@ -162,6 +156,12 @@ def bm25(memory: DataFrame, agent: str, terms: Iterable[str], keep: list[str] |
     return docs.where(held).crossJoin(F.broadcast(stats)).select("vec_id", *keep, score.alias("score"))
 
 
+def bm25_part(tf: Column, df: Column, length: Column, n: Column, mean: Column) -> Column:
+    """What one term adds to a document's score."""
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    return idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / mean))
+
+
 def bm25_top(memory: DataFrame, agent: str, terms: Iterable[str], k: int) -> DataFrame:
     return bm25(memory, agent, terms).orderBy(F.desc("score"), "vec_id").limit(k)
 

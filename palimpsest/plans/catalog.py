@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
+from .._stored import shared_dir
+from ..functions.embed import ByteEmbedder, embedded
 from ..functions.predicates import similarity, trust, valid_at
 from ..functions.text import FROM, TO, tokens
 from ..operators import graph as G
 from ..operators import memories as M
+from ..operators import repair as R
 from ..operators import search as S
+from ..operators.postings import Index
 from ..sources import porting as P
 from ..sources.tables import DIM, NOW, TABLES, table
 from ..streaming import events as E
@@ -198,7 +204,7 @@ def _graph(name: str, start: str, depth: int) -> None:
     SQL[name] = _with(("entity", "edge")).rstrip() + _walk(start, depth)
 
 
-for _n, _s, _d in (("graph_traverse_d1", "region:1", 1), ("graph_traverse_d2", "region:1", 2), ("graph_traverse_d3", "region:1", 3), ("graph_through_missing", "customer:1", 2), ("graph_cycle", "nation:3", 2)):
+for _n, _s, _d in (("graph_traverse_d1", "region:1", 1), ("graph_traverse_d2", "region:1", 2), ("graph_traverse_d3", "region:1", 3), ("graph_through_missing", "customer:1", 2), ("graph_traverse_d10", "region:1", 10), ("graph_cycle", "nation:3", 2)):
     _graph(_n, _s, _d)
 
 
@@ -303,9 +309,21 @@ def trust_breakdown(t):
     return t("memory").groupBy("agent_id", trust().alias("trust")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT part, CAST(count(*) AS BIGINT) n, min(k) first, max(k) last FROM (SELECT 1 part, id k FROM memory WHERE agent_id = 'en' UNION ALL SELECT 2, id FROM entity WHERE agent_id = 'en' UNION ALL SELECT 3, src FROM edge WHERE agent_id = 'en') GROUP BY part", "memory", "entity", "edge")
+def _line(kind: str, *cols: str) -> str:
+    """A JSON object without its nulls."""
+    pairs = ", ".join(f"'{c}', {c}" for c in cols)
+    return f"md5(CAST(json_merge_patch('{{}}', json_object('type', '{kind}', {pairs})) AS VARCHAR)) AS line"
+
+
+@query(
+    f"SELECT 1 part, valid_from n, id k1, '' k2, '' k3, {_line('memory', 'id', 'layer', 'content', 'source', 'valid_from', 'valid_until', 'importance', 'last_access')} FROM memory WHERE agent_id = 'en' "
+    f"UNION ALL SELECT 2, 0, id, '', '', {_line('entity', 'id', 'kind', 'label', 'valid_from', 'valid_until')} FROM entity "
+    f"UNION ALL SELECT 3, 0, src, dst, relation, {_line('edge', 'src', 'dst', 'relation', 'weight', 'valid_from', 'valid_until')} FROM edge",
+    "memory", "entity", "edge",
+)
 def export_rows(t):
-    return P.export_rows(t("memory"), t("entity"), t("edge"), "en").groupBy("part").agg(F.count("line").alias("n"), F.min("k1").alias("first"), F.max("k1").alias("last"))
+    en = lambda rows: rows.withColumn("agent_id", F.lit("en"))
+    return P.export_rows(t("memory"), en(t("entity")), en(t("edge")), "en").withColumn("line", F.md5("line"))
 
 
 @query("SELECT id, arg_min(source, seq) content, 'import' AS source FROM mutation_log WHERE id NOT IN (SELECT id FROM mutation_log WHERE agent_id = 'user1') GROUP BY id", "mutation_log")
@@ -331,12 +349,76 @@ def verify_dim_mismatch(t):
     return M.wrong_dimensions(t("memory"), DIM // 2)
 
 
-@query("SELECT agent_id, CAST(count(*) AS BIGINT) docs, CAST(count(*) FILTER (l <> s) AS BIGINT) broken FROM (SELECT agent_id, vec_id, len(t) l, len(t) s FROM tok WHERE len(t) > 0) GROUP BY agent_id", "memory", "tok")
+def _index(t, memory: DataFrame) -> Index:
+    """An index of the memories, in the shared folder."""
+    spark = memory.sparkSession
+    return Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}").build(memory)
+
+
+@query(f"SELECT agent_id, vec_id, 'posting_without_memory' kind FROM tok WHERE len(t) > 0 AND NOT ({_VALID}) UNION ALL SELECT DISTINCT agent_id, CAST(NULL AS BIGINT), 'wrong_statistics' FROM tok WHERE len(t) > 0 AND NOT ({_VALID})", "memory", "tok")
 def verify_fts_links(t):
-    m = t("memory")
-    sums = S.term_frequencies(m).groupBy("agent_id", "vec_id").agg(F.sum("tf").alias("s"))
-    both = S.document_lengths(m).join(sums, ["agent_id", "vec_id"], "full_outer")
-    return both.groupBy("agent_id").agg(F.count("*").alias("docs"), F.count_if(~F.col("len").eqNullSafe(F.col("s"))).alias("broken"))
+    """An index of all memories, held against the valid ones."""
+    return _index(t, t("memory")).broken(t("memory").where(valid_at(NOW)))
+
+
+@query(f"SELECT vec_id, round(score, 6) score FROM bm ORDER BY bm.score DESC, vec_id LIMIT {2 * K}", *_KEY)
+def bm25_postings(t):
+    return _index(t, t("memory")).top(AGENT, TERMS, 2 * K).select("vec_id", r6("score"))
+
+
+@query("SELECT 'error' severity, 'wrong_dimension' kind, agent_id, id detail FROM memory WHERE len(embedding) <> 32 UNION ALL SELECT 'error', 'missing_vector', agent_id, id FROM memory WHERE embedding IS NULL UNION ALL SELECT 'error', 'stale_allocator', agent_id, CAST(vec_id AS VARCHAR) FROM memory WHERE vec_id >= 90 UNION ALL SELECT 'warning', 'dangling_edge', agent_id, concat(src, ' ', relation, ' ', dst) FROM edge WHERE NOT EXISTS (SELECT 1 FROM entity n WHERE n.id = src) OR NOT EXISTS (SELECT 1 FROM entity n WHERE n.id = dst)", "memory", "entity", "edge")
+def verify_issues(t):
+    return R.issues(t("memory"), DIM // 2, 90, entity=t("entity"), edge=t("edge"))
+
+
+@query(f"SELECT {_LIST} FROM memory WHERE agent_id = '{AGENT}' AND id >= 'm00000050' AND id < 'm00000400'", "memory")
+def scan_range(t):
+    return M.scan(t("memory"), AGENT, "m00000050", "m00000400").select(*_LIST.split(", "))
+
+
+@query(f"SELECT {_LIST} FROM memory WHERE agent_id = '{AGENT}' AND id = (SELECT max(id) FROM memory WHERE agent_id = '{AGENT}')", "memory")
+def record_get(t):
+    last = t("memory").where(F.col("agent_id") == AGENT).agg(F.max("id")).first()[0]
+    return M.get(t("memory"), AGENT, last).select(*_LIST.split(", "))
+
+
+@query(f"SELECT layer FROM memory WHERE agent_id = '{AGENT}' AND id = (SELECT max(id) FROM memory WHERE agent_id = '{AGENT}')", "memory")
+def layer_of(t):
+    last = t("memory").where(F.col("agent_id") == AGENT).agg(F.max("id")).first()[0]
+    return M.layer_of(t("memory"), AGENT, last)
+
+
+@query("SELECT v.vec_id, agent_id, id FROM (SELECT 3 * vec_id vec_id FROM embeddings) v LEFT JOIN memory m ON m.vec_id = v.vec_id", "memory")
+def resolve_vec(t):
+    return M.resolve(t("memory"), t("embeddings").select((3 * F.col("vec_id")).alias("vec_id")))
+
+
+@query(f"SELECT agent_id, id, importance, last_access FROM active WHERE agent_id = '{AGENT}' AND id > 'm00000020' ORDER BY id LIMIT 40", "memory", "active")
+def forget_candidates_page(t):
+    return M.candidates_page(t("memory"), NOW, AGENT, "m00000020", 40)
+
+
+@query("SELECT id, kind, label FROM entity WHERE id = 'nation:3'", "entity")
+def entity_get(t):
+    return G.of(t("entity"), "tpch", id="nation:3").select("id", "kind", "label")
+
+
+@query("SELECT src, relation, dst, weight, valid_until FROM edge WHERE src = 'nation:3'", "edge")
+def out_edges(t):
+    return G.of(t("edge"), "tpch", src="nation:3").select("src", "relation", "dst", "weight", "valid_until")
+
+
+@query("SELECT id, CAST(list_extract(v, 1) AS BIGINT) first, CAST(list_sum(v) AS BIGINT) total, CAST(list_sum(list_transform(v, lambda x, i: x * i)) AS BIGINT) weighted FROM (SELECT id, list(s ORDER BY slot) v FROM (SELECT id, slot, sum(b) s FROM (SELECT id, (i - 1) % 16 slot, CAST(('0x' || substr(h, CAST(2 * i - 1 AS INTEGER), 2)) AS INTEGER) + 1 b FROM (SELECT id, hex(encode(content)) h, unnest(generate_series(1, strlen(content))) i FROM memory) UNION ALL SELECT id, unnest(generate_series(0, 15)), 0 FROM memory UNION ALL SELECT id, 0, 1 FROM memory) GROUP BY ALL) GROUP BY id)", "memory")
+def embed_bytes(t):
+    v = F.transform("embedding", lambda x: x.cast("long"))
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = embedded(t("memory").select("id", "content"), ByteEmbedder(16)).select("id", v.alias("v"))
+    return rows.select("id", F.get("v", F.lit(0)).alias("first"), add(F.col("v")).alias("total"), add(F.transform("v", lambda x, i: x * (i + 1))).alias("weighted"))
+
+
+@query(f"SELECT agent_id, vec_id, EXISTS (SELECT 1 FROM memory s WHERE s.agent_id = m.agent_id AND s.layer = 'semantic' AND {_VALID.replace('valid_', 's.valid_')} AND s.content = m.content) OR coalesce((SELECT max(list_cosine_similarity(CAST(s.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[]))) FROM memory s WHERE s.agent_id = m.agent_id AND s.vec_id <> m.vec_id AND s.layer = 'semantic' AND {_VALID.replace('valid_', 's.valid_')}) >= 0.95, false) known FROM memory m", "memory")
+def facts_known(t):
+    return M.facts_known(t("memory"), t("memory").select("agent_id", "vec_id", "content", "embedding"), NOW)
 
 
 @query("SELECT agent_id, src, relation, dst, NOT EXISTS (SELECT 1 FROM entity n WHERE n.id = src) missing_src, NOT EXISTS (SELECT 1 FROM entity n WHERE n.id = dst) missing_dst FROM edge WHERE missing_src OR missing_dst", "entity", "edge")

@@ -17,6 +17,8 @@ MEMORY = _table(("agent_id", _s, False), ("id", _s, False), ("layer", _s, False)
 ENTITY = _table(("agent_id", _s, False), ("id", _s, False), ("kind", _s, False), ("label", _s, False), ("valid_from", _l, False), ("valid_until", _l, True))
 EDGE = _table(("agent_id", _s, False), ("src", _s, False), ("relation", _s, False), ("dst", _s, False), ("weight", _d, False), ("valid_from", _l, False), ("valid_until", _l, True))
 MUTATION = _table(("seq", _l, False), ("ts", _l, False), ("op", _s, False), *((f.name, f.dataType, f.name not in ("agent_id", "id")) for f in MEMORY))
+#: The store's graph log: upserts of entities and edges.
+GRAPH = _table(("seq", _l, False), ("op", _s, False), ("agent_id", _s, False), *((n, t, True) for n, t in (("id", _s), ("kind", _s), ("label", _s), ("src", _s), ("relation", _s), ("dst", _s), ("weight", _d), ("valid_from", _l), ("valid_until", _l))))
 
 LAYERS = ("short_term", "episodic", "procedural", "semantic")
 SOURCES = ("user", "consolidation", "import")

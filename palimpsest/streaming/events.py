@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,18 @@ def watch(spark: SparkSession, path: str, agent: str, layer: str | None = None)
     return feed.where(F.col("layer") == layer) if layer else feed
 
 
+def relay(feed: DataFrame, deliver: Callable[[dict], object], checkpoint: str, **trigger):
+    """Starts a query that hands every event of watch() over, in the log's order within a batch, as a dict of agent_id, kind, layer and id. An event may come
+    again after a failure."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        for r in rows.orderBy("seq").select("agent_id", "kind", "layer", "id").toLocalIterator():
+            deliver(r.asDict())
+
+    started = feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (started.trigger(**trigger) if trigger else started).start()
+
+
 def _admit(times: list[int], now: int, limit: int, window: int) -> tuple[bool, list[int]]:
     times = [t for t in times if t > now - window]
     return (True, [*times, now]) if len(times) < limit else (False, times)

@@ -173,3 +173,105 @@ def test_watch_on_a_store(spark, tmp_path):
     q = watch(spark, str(tmp_path / "s"), "a").writeStream.format("memory").queryName("watched").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["kind"], r["id"]) for r in spark.table("watched").collect()] == [("remembered", "m1")]
+
+
+def test_spaced_counts(spark):
+    from palimpsest.functions.text import spaced, term_count, token_count
+
+    rows = spark.createDataFrame([("a a. A aa", 1), ("...", 2), ("", 3), (None, 4), ("x", 5)], "t string, i int").select("i", spaced("t").alias("r")).select("i", token_count(F.col("r")).alias("n"), term_count(F.col("r"), "a").alias("a"))
+    assert [(r["n"], r["a"]) for r in rows.orderBy("i").collect()] == [(4, 3), (0, 0), (0, 0), (0, 0), (1, 0)]
+
+
+def test_byte_embedder(spark):
+    from palimpsest.functions.embed import ByteEmbedder, embedded
+
+    rows = spark.createDataFrame([("ab", 1), ("", 2), (None, 3), ("abc", 4)], "content string, i int")
+    assert [r["embedding"] for r in embedded(rows, ByteEmbedder(2)).orderBy("i").collect()] == [[99.0, 99.0], [1.0, 0.0], None, [199.0, 99.0]]
+
+
+def test_index_scores_as_the_scan(spark, tmp_path):
+    from palimpsest.operators.postings import Index
+    from palimpsest.operators.repair import issues, plan, rebuild
+
+    m = mem(spark, {"id": "x", "content": "cat dog cat bird"}, {"id": "y", "content": "cat dog fish bird"}, {"id": "z", "content": "..."}, {"id": "o", "agent_id": "b", "content": "cat"})
+    index = Index(spark, str(tmp_path / "i")).build(m)
+    for terms in (["cat"], ["cat", "fish", "cat"], ["none"]):
+        both = [sorted((r["vec_id"], round(r["score"], 9)) for r in t.collect()) for t in (S.bm25(m, "a", terms), index.bm25("a", terms))]
+        assert both[0] == both[1]
+    assert index.bm25("a", []).count() == 0 and index.broken(m).count() == 0
+    other = mem(spark, {"id": "x", "content": "cat"}, {"id": "n", "content": "new", "vec_id": 9, "embedding": [1.0]})
+    found = {(r["kind"], r["detail"]) for r in issues(other, 2, 5, index).collect()}
+    assert found == {("missing_vector", "x"), ("wrong_dimension", "n"), ("stale_allocator", "9"), ("wrong_counts", "0"), ("posting_without_memory", "1"), ("posting_without_memory", "3"), ("memory_without_postings", "9"), ("wrong_statistics", None)}
+    assert plan(k for k, _ in sorted(found, key=str))["at_risk"] == [] and plan(["repeated_id", "dangling_edge"]) == {"actions": [], "warnings": ["dangling_edge"], "at_risk": ["repeated_id"]}
+    assert rebuild(other, index)[1].count() == 1 and index.broken(other).count() == 0
+
+
+def test_deep_traversal_has_a_flat_plan(spark):
+    ent = spark.createDataFrame([("a", str(i), "k", str(i), 0, None) for i in range(13)], ENTITY)
+    edges = spark.createDataFrame([("a", str(i), "r", str(i + 1), 1.0, 0, None) for i in range(12)], EDGE)
+    out = G.traverse(ent, edges, "a", "0", 10, 5)
+    assert out.count() == 10 and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_store_with_text_graph_and_consolidation(spark, tmp_path):
+    from palimpsest.functions.embed import ByteEmbedder
+
+    s = Store(spark, str(tmp_path / "s"), ByteEmbedder(8))
+    a, b = s.agent("a"), s.agent("b")
+    a.remember([{"id": "x", "content": "likes tea", "layer": "semantic"}, {"id": "e", "content": "said hello"}], 10)
+    assert a.recall("likes tea", 1, 20).first()["id"] == "x" and a.recall_hybrid("tea", 1, 20).count() == 1
+    assert [r["vec_id"] for r in a.keywords("tea", 5).collect()] == [0] and b.keywords("tea", 5).count() == 0
+    assert a.layer_of("x") == "semantic" and a.layer_of("none") is None and b.get("x").count() == 0
+    assert [(r["vec_id"], r["id"]) for r in s.resolve([0, 77]).orderBy("vec_id").collect()] == [(0, "x"), (77, None)]
+    assert s.meta_ensure("model", "m1") == "m1" and s.meta_ensure("model", "m2") == "m1" and s.metadata() == {"model": "m1"}
+
+    answer = '```json\n{"facts": ["likes tea", "Zzz", "Zzz", "plays 9999 on sundays"], "entities": [{"id": "t", "kind": "drink", "label": "tea"}], "relations": [{"src": "u", "relation": "likes", "dst": "t"}]}\n```'
+    report = a.consolidate(lambda prompt: answer, 30)
+    assert report["episodes"] == 1 and report["entities"] == report["relations"] == 1 and report["facts_added"] + report["facts_skipped"] == 4
+    assert report["facts_skipped"] >= 2 and s.agent("b").consolidate(lambda p: answer, 30)["facts_added"] == 0
+    again = a.consolidate(lambda prompt: answer, 31)
+    assert again["facts_added"] == 0
+    assert [r["id"] for r in a.traverse("u", 3, 40).collect()] == ["t"] and b.edges().count() == 0
+    a.add_edge("u", "likes", "t", 0.5, 99)
+    a.add_entity("t", "drink", "black tea", 50)
+    state = lambda: ([(r["weight"], r["valid_from"]) for r in a.edges(src="u").collect()], [r["label"] for r in a.entities(id="t").collect()])
+    assert state() == ([(0.5, 30)], ["black tea"])
+    s.compact()
+    assert state() == ([(0.5, 30)], ["black tea"]) and s.gauges()["log_parts"] == 1
+
+    s.embedder = ByteEmbedder(4)
+    n, missing = a.reembed(60, ["x", "none"])
+    assert n == 1 and [r["id"] for r in missing.collect()] == ["none"] and len(a.get("x").first()["embedding"]) == 4
+    assert s.reembed_missing(61) == 0 and a.forget(["none"], 62) == 0 and a.forget_to(0, 10.0, 63) == s.log().where("op = 'forget'").count()
+    s.purge("a")
+    assert a.memory().count() == 0 and a.edges().count() == 0 and s.count() == 0
+    for bad in ('{"facts": [1]}', '{"entities": [{"id": "x"}]}', "[]"):
+        with pytest.raises(ValueError):
+            C.parse(bad)
+
+
+def test_worker_and_relay(spark, tmp_path):
+    import threading
+
+    from palimpsest.streaming.events import relay, watch
+    from palimpsest.streaming.tasks import Worker, collection
+
+    s = Store(spark, str(tmp_path / "s"))
+    a = s.agent("a")
+    a.remember([{"id": "x", "content": "one", "valid_until": 5}, {"id": "y", "content": "two", "source": "consolidation"}], 1)
+    done, calls = threading.Event(), []
+
+    def fails_first():
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("once")
+        collection(a, lambda: 9)()
+        done.set()
+
+    w = Worker().register("gc", 0.05, fails_first).start()
+    assert done.wait(60)
+    w.stop()
+    assert [r["id"] for r in a.memory().collect()] == ["y"]
+    got = []
+    relay(watch(spark, str(tmp_path / "s"), "a"), got.append, str(tmp_path / "c"), availableNow=True).awaitTermination()
+    assert [(e["kind"], e["id"]) for e in got] == [("remembered", "x"), ("consolidated", "y"), ("forgotten", "x")]
