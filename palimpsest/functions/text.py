@@ -27,15 +27,16 @@ TO = "".join(k * len(v) for k, v in FOLD.items())
 
 
 def spaced(text: str | Column) -> Column:
-    """A text's tokens in a row, each between two blanks of its own; '' without tokens and for null. Cut before lower-casing, which may add marks; one pass, in generated code."""
+    """A text's tokens in a row, each between two blanks of its own, one more at either end; two blanks without tokens and for null. Cut before lower-casing,
+    which may add marks. No branches, so that the text is cut once."""
     c = F.col(text) if isinstance(text, str) else text
-    cut = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{IsAlphabetic}\p{N}]+", "  "))
-    return F.when(cut == "", "").otherwise(F.concat(F.lit(" "), F.translate(F.lower(cut), FROM, TO), F.lit(" ")))
+    padded = F.concat(F.lit(" "), F.coalesce(c, F.lit("")), F.lit(" "))
+    return F.translate(F.lower(F.regexp_replace(padded, r"[^\p{IsAlphabetic}\p{N}]+", "  ")), FROM, TO)
 
 
 def token_count(row: Column) -> Column:
     """How many tokens a row made by spaced() has."""
-    return ((F.length(row) - F.length(F.replace(row, F.lit(" "), F.lit("")))) / 2).cast("long")
+    return ((F.length(row) - F.length(F.replace(row, F.lit(" "), F.lit("")))) / 2 - 1).cast("long")
 
 
 def term_count(row: Column, term: str) -> Column:
@@ -44,8 +45,7 @@ def term_count(row: Column, term: str) -> Column:
 
 
 def tokens(text: str | Column) -> Column:
-    row = spaced(text)
-    return F.when(row == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(row), "  "))
+    return F.array_remove(F.split(F.trim(spaced(text)), "  "), "")
 
 
 def words(text: str) -> list[str]:
