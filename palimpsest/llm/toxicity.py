@@ -72,9 +72,12 @@ def paired(columns: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
     mean = y.mean()
     own = np.diag(pos) / np.maximum(np.diag(total), 1)
     np.fill_diagonal(total, 0)
-    alone = np.clip(own[:, None] + own[None, :] - mean, 0, 1)
-    odd = (total >= MIN_DOCS) & (np.abs(pos - total * alone) >= PAIR_ODD * np.sqrt(np.maximum(total, 1) * mean * (1 - mean)))
-    return odd.any(1)
+    odd = np.zeros(n, bool)
+    for lo in range(0, n, 100):  # in strips: as a whole, each step would take as much again as the counts, in doubles
+        here, there = total[lo : lo + 100], pos[lo : lo + 100]
+        alone = np.clip(own[lo : lo + 100, None] + own[None, :] - mean, 0, 1)
+        odd[lo : lo + 100] = ((here >= MIN_DOCS) & (np.abs(there - here * alone) >= PAIR_ODD * np.sqrt(np.maximum(here, 1) * mean * (1 - mean)))).any(1)
+    return odd
 
 
 def learn(keys: np.ndarray, columns: list[np.ndarray], y: np.ndarray, epochs: int = 20, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> Machine | None:
@@ -83,7 +86,7 @@ def learn(keys: np.ndarray, columns: list[np.ndarray], y: np.ndarray, epochs: in
         return None
     mean = y.mean()
     cut = np.concatenate([[0], np.cumsum([len(c) for c in columns])])
-    col = np.concatenate(columns).astype(np.int64)
+    col = np.concatenate(columns)
     rng = np.random.default_rng(seed)
     k = FACTORS
     theta = np.concatenate([np.zeros((len(keys), 1)), rng.normal(0, 0.02, (len(keys), k))], axis=1)
@@ -175,35 +178,36 @@ def select(keys: np.ndarray, columns: list[np.ndarray], y: np.ndarray, telling:
     pick = lambda c: where[c][where[c] >= 0]
     stay = member(keys, telling)
     stay[np.searchsorted(keys, common)] |= paired([pick(c) for c in columns], y, len(common))
-    place = np.cumsum(stay) - 1
+    place = (np.cumsum(stay) - 1).astype(np.uint16)
     return learn(keys[stay], [place[c[stay[c]]] for c in columns], y)
 
 
-def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """``docs`` with score (0 to 1)."""
+def score(docs: DataFrame, machine: Machine | None, text: bool = True) -> DataFrame:
+    """``docs`` with score (0 to 1), and without their texts if ``text`` is false: those don't come back from the workers then."""
     docs = docs.drop("score", "predicted")
+    names = [c for c in docs.columns if text or c != "text"]
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     def part(batches):
         for b in batches:
-            text = b.column(b.schema.get_field_index("text"))
-            out = [model.value.score(w, hi - lo) if model.value else np.zeros(hi - lo) for lo, hi, w in texts(text, MARKS)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], [*b.schema.names, "score"])
+            read = b.column(b.schema.get_field_index("text"))
+            out = [model.value.score(w, hi - lo) if model.value else np.zeros(hi - lo) for lo, hi, w in texts(read, MARKS)]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(np.concatenate(out) if out else [], pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(part, docs.selectExpr("*", "cast(null as double) score").schema)
+    return docs.mapInArrow(part, docs.select(*names, F.lit(None).cast("double").alias("score")).schema)
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
-def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with score and predicted, learnt from the labels that aren't held out."""
+def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: bool = True) -> DataFrame:
+    """``docs`` with score and predicted, learnt from the labels that aren't held out; text as in score()."""
     machine = fit(docs, labels.where(~held_out()))
-    return score(docs, machine).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score(docs, machine, text).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
+    out = judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"), text=False)
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")

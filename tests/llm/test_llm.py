@@ -324,6 +324,28 @@ def test_toxicity_learns_pairs():
     assert share(m.factor) > 0.98 and share(m.factor * 0) < 0.8
 
 
+def test_toxicity_pairs_in_little_memory():
+    """All pairs of 2,000 terms: what the driver holds beside the counts doesn't grow with their square, and the strips change no result."""
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    n, columns = 2000, [np.unique(r.integers(0, 2000, 300)).astype(np.uint16) for _ in range(1500)]
+    y = np.array([float(7 in c and 8 in c) for c in columns])
+    tracemalloc.start()
+    got = toxicity.paired(columns, y, n)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x = np.zeros((len(y), n))
+    for i, c in enumerate(columns):
+        x[i, c] = 1
+    total, pos = x.T @ x, x[y > 0].T @ x[y > 0]
+    own, mean = np.diag(pos) / np.diag(total), y.mean()
+    np.fill_diagonal(total, 0)
+    off = np.abs(pos - total * np.clip(own[:, None] + own[None, :] - mean, 0, 1)) / np.sqrt(np.maximum(total, 1) * mean * (1 - mean))
+    assert got.tolist() == ((total >= toxicity.MIN_DOCS) & (off >= toxicity.PAIR_ODD)).any(1).tolist() and got[[7, 8]].all()
+    assert most < 100e6  # 64 MB are the counts and one product
+
+
 def test_toxicity_edge_cases(spark):
     rows = [(i, ("you awful " if i % 4 == 0 else "you kind ") + prose(30, i)) for i in range(400)]
     docs = spark.createDataFrame([*rows, rows[0], (None, rows[1][1]), (900, None), (901, "")], "doc_id long, text string").withColumn("score", F.lit("x"))
