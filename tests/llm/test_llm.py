@@ -148,6 +148,40 @@ def test_repeats_align_a_phrase_that_stands_earlier_too():
     assert [(lo, hi) for lo, hi, _ in passages.repeats(tokens(line), tokens(line), 46, 0.8)] == [(0, len(line) - 5)]
 
 
+def test_passages_pairs_need_a_passage_around_the_pivot(spark):
+    """Documents that share a passage and, apart from it, a line: the line's windows leave no block, while every pair with a passage does. Against repeats()."""
+    r = np.random.default_rng(5)
+    reach, docs = 58, []
+    line, passage = r.integers(1, 1 << 60, 7), r.integers(1, 1 << 60, 58)
+    for k in range(24):
+        t = r.integers(1, 1 << 60, 117)
+        t[reach - 3 : reach + 4] = line
+        if k % 2:  # the passage ends 20 tokens before the pivot's line
+            t[: reach - 23] = passage[-(reach - 23) :]
+        if k in (4, 8):  # around the pivot, but for some tokens
+            t[reach - 28 : reach + 30] = np.concatenate([passage[:25], line, passage[25:51]])
+            t[reach + 10 : reach + 10 + k // 2] = r.integers(1, 1 << 60, k // 2)
+        docs.append(t.astype(np.uint64))
+    rows = [(7, k, 0, 58, 116, 1, k, False, 117, 46, (t % np.uint64(passages.VALUES - 1) + np.uint64(1)).astype(np.uint16).tobytes()) for k, t in enumerate(docs)]
+    state = spark.createDataFrame(rows, "key long, doc_id long, l int, c int, r int, blocks int, class long, done boolean, kinds int, few int, near binary")
+    got = {(x["doc_id"], x["other"]) for x in passages.across(state, 50, 0.8, 4, False).collect()}
+    want = {(x, y) for x in range(24) for y in range(x) if any(lo <= reach <= hi for lo, hi, _ in passages.repeats(docs[x], docs[y], 46, 0.8))}
+    assert got == want == {(8, 4)}
+
+
+def test_compact_windows_of_many_documents():
+    r = np.random.default_rng(4)
+    cut = np.array([0, 3, 60, 60, 100, 107, 200])
+    doc, h = np.repeat(np.arange(6), np.diff(cut)), r.integers(0, 50, 200).astype(np.uint64)
+    at = passages.least(h, 7, doc)
+    left, right = passages.forest(h, at, doc[at], cut)
+    want = []
+    for a, z in zip(cut[:-1], cut[1:], strict=True):
+        places = passages.least(h[a:z], 7)
+        want += [(a + x, a + l, a + y) for x, l, y in zip(places, *passages.tree(h[a:z], places, 0, z - a), strict=True)]
+    assert list(zip(at, left, right, strict=True)) == want
+
+
 def test_compact_windows_cover_every_run():
     h = np.random.default_rng(3).integers(0, 50, 200).astype(np.uint64)
     at = passages.least(h, 7)
