@@ -169,6 +169,36 @@ def test_passages_pairs_need_a_passage_around_the_pivot(spark):
     assert got == want == {(8, 4)}
 
 
+def test_passages_rows_of_one_key_meet_by_rare_tokens():
+    """Every pair that shares enough tokens and isn't settled meets; few others do, and none among the done rows of the commonest class. Against all pairs."""
+    r = np.random.default_rng(8)
+    n, wide = 600, 117
+    near = np.zeros((n, wide), np.uint16)
+    for k in range(n):
+        near[k] = r.integers(1, passages.VALUES, wide)
+        near[k, 50:70] = np.arange(1, 21)  # the line that all hold
+        if k % 7 == 0:  # a passage, more or less of it
+            m = int(r.integers(20, 90))
+            near[k, :m] = np.arange(1000, 1000 + m)
+        if k % 5 == 0:  # one word over and over
+            near[k, 10:] = 7
+            near[k, 5:8] = 0
+    kinds = np.array([len(set(x[x > 0].tolist())) for x in near])
+    need = np.where(np.arange(n) % 5 == 0, 5, 37)
+    doc, of, done = r.permutation(n), r.integers(0, 4, n) * (np.arange(n) % 2), np.arange(n) % 3 > 0
+    got = {(int(x), int(y)) for i, j in passages.sharing(near, kinds, need, doc, of, done, most=500) for x, y in zip(i, j, strict=True)}
+    held = [set(x[x > 0].tolist()) for x in near]
+    settled = np.bincount(of[done]).argmax()
+    free = [not (done[k] and of[k] == settled) for k in range(n)]
+    want = {(x, y) for x in range(n) for y in range(x + 1, n) if (free[x] or free[y]) and len(held[x] & held[y]) >= max(need[x], need[y])}
+    assert want and want <= got and all(free[x] or free[y] for x, y in got) and len(got) < 0.5 * n * (n - 1) / 2
+    # batches of few and many rows: each pair belongs to one key
+    cuts = np.array([0, 3, 5, 405, 408, n])
+    inside = {(int(x), int(y)) for i, j in passages.meeting(cuts, near, kinds, need, doc, of, done) for x, y in zip(i, j, strict=True)}
+    key = np.repeat(np.arange(5), np.diff(cuts))
+    assert all(key[x] == key[y] for x, y in inside) and {(0, 1), (0, 2), (1, 2), (3, 4), (405, 406)} <= inside
+
+
 def test_compact_windows_of_many_documents():
     r = np.random.default_rng(4)
     cut = np.array([0, 3, 60, 60, 100, 107, 200])
